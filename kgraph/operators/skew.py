@@ -6,20 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def hot_join(many: DataFrame, one: DataFrame, on: list[str], how: str = "inner", share: float = 1e-3, least: int = 10_000) -> DataFrame:
+def hot_join(many: DataFrame, one: DataFrame, on: list[str], how: str = "inner", most: int = 1000, least: int = 10_000) -> DataFrame:
     """many join one on columns of equal name; `one` has at most one row a key, `many` any number.
 
-    Keys with more than max(least, share * rows) rows of `many` are fewer than 1/share whatever the data; their rows of `one`
-    are broadcast and the rows of `many` stay where they are. All other keys take a shuffle join. how is inner,
-    left, left_semi or left_anti; null keys match nothing, as in SQL, and with left and left_anti stay.
+    The `most` heaviest keys of `many` with more than `least` rows are hot, so every key of over 1/most of the rows is. Their
+    rows of `one` are broadcast, at most `most` rows, and the rows of `many` stay where they are. All other keys
+    take a shuffle join. how is inner, left, left_semi or left_anti; null keys match nothing, as in SQL, and with left
+    and left_anti stay.
     """
-    # the hot keys as rows: reading them costs one pre-aggregated pass over the key columns
-    known = many.groupBy(*on).agg(F.count("*").alias("_n")).persist()
-    try:
-        n = known.agg(F.sum("_n")).first()[0] or 0
-        hot = known.where(F.col("_n") > max(least, int(n * share))).select(*on).dropna().collect()
-    finally:
-        known.unpersist()
+    heavy = many.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > least).dropna()
+    hot = heavy.orderBy(F.desc("_n")).limit(most).select(*on).collect()
     if not hot:
         return many.join(one, on, how)
     schema = many.select(*on).schema

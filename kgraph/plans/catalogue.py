@@ -1,5 +1,7 @@
 """Named queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+from kgraph.plans import records
+
+QUERIES: dict = {**records.QUERIES}
+ORACLES: dict = {**records.ORACLES}
+FLAGSHIP = "p4_found"
