@@ -20,6 +20,8 @@ import re
 import struct
 import unicodedata
 
+import numpy as np
+
 BYTE_BPE_50K = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 # Unicode's White_Space, and the contractions of the public split pattern.
@@ -75,6 +77,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], most_transitions: int = 1_500_000):
         self.ranks = ranks
         self.most = most_transitions
+        self._lengths = None
         self.open = {t[:n] for t in ranks for n in range(1, len(t))}
         self.reset()
 
@@ -208,6 +211,14 @@ class Transducer:
         add(s.end())
         return b"".join(out)
 
+    def lengths(self) -> np.ndarray:
+        """Bytes of each token, by id."""
+        if self._lengths is None:
+            self._lengths = np.zeros(max(self.ranks.values()) + 1, np.int64)
+            for t, i in self.ranks.items():
+                self._lengths[i] = len(t)
+        return self._lengths
+
     def count(self, text: str) -> int:
         return len(self.encode(text)) >> 2
 

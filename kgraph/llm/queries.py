@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgraph.llm import consensus, groups, looks, reference_list, tokens
+from kgraph.llm import consensus, groups, looks, mixture, pieces, reference_list, tokens
 from kgraph.operators.skew import hot_join
 from kgraph.session import cut, ship
 from kgraph.sources.tables import table
@@ -101,6 +101,26 @@ def p7_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return d2.join(both, "doc_id").groupBy("source").agg(F.count("*").alias("documents"), F.sum("n").alias("tokens"), F.count_if(F.col("g") == F.col("h")).alias("restored"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_unmatched, p3_found, p3_sizes, p5_found, p5_reviewers, p5_agreement, p7_ids, p7_roundtrip)}
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return mixture.plan(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return mixture.plan(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return pieces.over_limit(table(spark, d, "documents")).select("doc_id")
+
+
+def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return pieces.split(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_unmatched, p3_found, p3_sizes, p5_found, p5_reviewers, p5_agreement, p7_ids, p7_roundtrip, p8_mix, p8_shares, p9_found, p9_pieces)}
 
 ORACLES: dict[str, str] = {}
