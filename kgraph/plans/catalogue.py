@@ -1,7 +1,7 @@
 """Named queries and their SQL."""
 
-from kgraph.plans import records
+from kgraph.plans import curriculum, curriculum_sql, records
 
-QUERIES: dict = {**records.QUERIES}
-ORACLES: dict = {**records.ORACLES}
-FLAGSHIP = "p4_found"
+QUERIES: dict = {**records.QUERIES, **curriculum.QUERIES}
+ORACLES: dict = {**records.ORACLES, **curriculum_sql.ORACLES}
+FLAGSHIP = "literal_match_top3"
