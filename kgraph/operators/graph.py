@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kgraph.operators.skew import hot_join
+from kgraph.operators.skew import hot_join, hot_keys
 from kgraph.session import cut
 
 
@@ -150,10 +150,12 @@ def chain_lengths(g: Graph, most_rounds: int | None = None) -> DataFrame:
     e = cut(hot_join(e, odd.withColumnRenamed("v", "child"), ["child"], "left_anti"))
     best = cut(ids.join(odd.withColumnRenamed("v", "id"), "id", "left_anti").withColumn("length", F.lit(1)))
     grew = best
+    e = e.withColumnRenamed("parent", "id")
+    hot = hot_keys(e, ["id"])
     k = 0
     while most_rounds is None or k < most_rounds:
         k += 1
-        sent = hot_join(e.withColumnRenamed("parent", "id"), grew, ["id"]).groupBy(F.col("child").alias("id")).agg((F.max("length") + 1).alias("more"))
+        sent = hot_join(e, grew, ["id"], hot=hot).groupBy(F.col("child").alias("id")).agg((F.max("length") + 1).alias("more"))
         now = cut(best.join(sent, "id", "left").select("id", F.greatest("length", F.coalesce("more", "length")).alias("length"), F.coalesce(F.col("more") > F.col("length"), F.lit(False)).alias("grew")))
         grew = now.where("grew").select("id", "length")
         best = now.select("id", "length")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kgraph.operators.skew import hot_join
+from kgraph.operators.skew import hot_join, hot_keys
 from kgraph.session import cut
 
 
@@ -47,10 +47,8 @@ def unprocessed(e: DataFrame) -> DataFrame:
     alive = cut(up.select(F.coalesce("t", "v").alias("a"), F.col("child").alias("m"), F.coalesce("open", F.lit(False)).alias("open")).distinct())
     n = alive.count()
     while n:
-        stay = alive
-        for _ in range(4):  # waves between two counts
-            stay = stay.where("open").unionByName(stay.where("NOT open").join(stay.select(F.col("m").alias("a")).distinct(), "a", "left_semi").select("a", "m", "open"))
-        alive = cut(stay)
+        waits = alive.select(F.col("m").alias("a")).distinct().withColumn("waits", F.lit(True))
+        alive = cut(alive.join(waits, "a", "left").where("open OR waits").select("a", "m", "open"))
         left = alive.count()
         if left == n:
             break
@@ -66,17 +64,18 @@ def _labels(e: DataFrame) -> DataFrame:
     A label is a node that is reached, so its own label is taken over too: distances double in each round.
     """
     lab = cut(e.select(F.explode(F.array("parent", "child")).alias("v")).distinct().select("v", F.col("v").alias("f"), F.col("v").alias("b")))
+    heads, tails = hot_keys(e, ["parent"]), hot_keys(e, ["child"])
     mark = None
     while True:
         n = lab.agg(F.sum(F.xxhash64("v", "f", "b").cast("decimal(20,0)"))).first()[0]
         if n == mark:
             return lab
         mark = n
-        down = e.join(lab.select(F.col("v").alias("child"), "f"), "child").groupBy(F.col("parent").alias("v")).agg(F.min("f").alias("f2"))
-        above = e.join(lab.select(F.col("v").alias("parent"), "b"), "parent").groupBy(F.col("child").alias("v")).agg(F.min("b").alias("b2"))
+        down = hot_join(e, lab.select(F.col("v").alias("child"), "f"), ["child"], hot=tails).groupBy(F.col("parent").alias("v")).agg(F.min("f").alias("f2"))
+        above = hot_join(e, lab.select(F.col("v").alias("parent"), "b"), ["parent"], hot=heads).groupBy(F.col("child").alias("v")).agg(F.min("b").alias("b2"))
         lab = lab.join(down, "v", "left").join(above, "v", "left").select("v", F.least("f", F.coalesce("f2", "f")).alias("f"), F.least("b", F.coalesce("b2", "b")).alias("b"))
         lab = cut(lab)
-        far = lab.join(lab.select(F.col("v").alias("f"), F.col("f").alias("f2")), "f").join(lab.select(F.col("v").alias("b"), F.col("b").alias("b2")), "b")
+        far = hot_join(hot_join(lab, lab.select(F.col("v").alias("f"), F.col("f").alias("f2")), ["f"]), lab.select(F.col("v").alias("b"), F.col("b").alias("b2")), ["b"], hot=hot_keys(lab, ["b"]))
         lab = cut(far.select("v", F.least("f", "f2").alias("f"), F.least("b", "b2").alias("b")))
 
 
