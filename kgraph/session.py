@@ -31,9 +31,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise reliably in the shared folder, so that lineage ends here and a lost executor costs nothing upstream."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise reliably in the shared folder, so that lineage ends here and a lost executor costs nothing upstream.
+
+    A checkpoint keeps the size that the planner had estimated for its plan. In a loop of joins these estimates multiply, until
+    planning itself takes minutes, so the rows are taken up without them; adaptive execution sees the real sizes.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    done = df.checkpoint(eager=True)
+    rows = done._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
