@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Chinese numerals with their digits, operator words with their signs, the two title patterns.
 NUMERALS = {"零": "0", "一": "1", "二": "2", "两": "2", "三": "3", "四": "4", "五": "5", "六": "6", "七": "7", "八": "8", "九": "9"}
@@ -55,13 +56,13 @@ def summary(c: Column, most: int = 60) -> Column:
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("…"))).otherwise(c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def folded_name(s: pd.Series) -> pd.Series:
     """NFKC, lower case, without blanks, punctuation and underscores."""
     return s.map(lambda x: None if x is None else re.sub(r"[\W_]+", "", unicodedata.normalize("NFKC", x).lower()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def containment(a: pd.Series, b: pd.Series) -> pd.Series:
     """Characters in matching blocks over the shorter length; 0 if either is empty. The order of the two matters."""
 
