@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kgraph.operators.skew import hot_join, hot_keys
+from kgraph.operators.skew import LEAST_HOT, hot_join, hot_keys
 from kgraph.session import cut
 
 
@@ -29,7 +29,8 @@ def _tops(single: DataFrame) -> DataFrame:
     while (n := j.where("open").count()) and n != left:
         left = n
         step = j.select(F.col("v").alias("t"), F.col("t").alias("t2"), F.col("open").alias("o2"))
-        moved = hot_join(j.where("open"), step, ["t"]).select("v", F.col("t2").alias("t"), F.col("o2").alias("open"))
+        # n rows can't hold a key of more rows than that
+        moved = hot_join(j.where("open"), step, ["t"], hot=[] if n <= LEAST_HOT else None).select("v", F.col("t2").alias("t"), F.col("o2").alias("open"))
         j = cut(j.where("NOT open").unionByName(moved))
     return j
 
@@ -47,8 +48,10 @@ def unprocessed(e: DataFrame) -> DataFrame:
     alive = cut(up.select(F.coalesce("t", "v").alias("a"), F.col("child").alias("m"), F.coalesce("open", F.lit(False)).alias("open")).distinct())
     n = alive.count()
     while n:
-        waits = alive.select(F.col("m").alias("a")).distinct().withColumn("waits", F.lit(True))
-        alive = cut(alive.join(waits, "a", "left").where("open OR waits").select("a", "m", "open"))
+        for _ in range(2):  # two waves a checkpoint; more would double the plan each time
+            waits = alive.select(F.col("m").alias("a")).distinct().withColumn("waits", F.lit(True))
+            alive = alive.join(waits, "a", "left").where("open OR waits").select("a", "m", "open")
+        alive = cut(alive)
         left = alive.count()
         if left == n:
             break
@@ -64,19 +67,19 @@ def _labels(e: DataFrame) -> DataFrame:
     A label is a node that is reached, so its own label is taken over too: distances double in each round.
     """
     lab = cut(e.select(F.explode(F.array("parent", "child")).alias("v")).distinct().select("v", F.col("v").alias("f"), F.col("v").alias("b")))
-    heads, tails = hot_keys(e, ["parent"]), hot_keys(e, ["child"])
-    mark = None
+    few = e.count() * 2 <= LEAST_HOT  # then no key, of links or of labels, can be hot
+    heads, tails = ([], []) if few else (hot_keys(e, ["parent"]), hot_keys(e, ["child"]))
     while True:
-        n = lab.agg(F.sum(F.xxhash64("v", "f", "b").cast("decimal(20,0)"))).first()[0]
-        if n == mark:
+        down = hot_join(e, lab.select(F.col("v").alias("child"), "f"), ["child"], hot=tails).groupBy(F.col("parent").alias("v")).agg(F.min("f").alias("f1"))
+        above = hot_join(e, lab.select(F.col("v").alias("parent"), "b"), ["parent"], hot=heads).groupBy(F.col("child").alias("v")).agg(F.min("b").alias("b1"))
+        near = lab.join(down, "v", "left").join(above, "v", "left")
+        far = hot_join(near, lab.select(F.col("v").alias("f"), F.col("f").alias("f2")), ["f"], hot=[] if few else hot_keys(lab, ["f"]))
+        far = hot_join(far, lab.select(F.col("v").alias("b"), F.col("b").alias("b2")), ["b"], hot=[] if few else hot_keys(lab, ["b"]))
+        f, b = F.least("f", "f2", F.coalesce("f1", "f")), F.least("b", "b2", F.coalesce("b1", "b"))
+        now = cut(far.select("v", f.alias("f"), b.alias("b"), ((f != F.col("f")) | (b != F.col("b"))).alias("moved")))
+        lab = now.select("v", "f", "b")
+        if not now.where("moved").take(1):
             return lab
-        mark = n
-        down = hot_join(e, lab.select(F.col("v").alias("child"), "f"), ["child"], hot=tails).groupBy(F.col("parent").alias("v")).agg(F.min("f").alias("f2"))
-        above = hot_join(e, lab.select(F.col("v").alias("parent"), "b"), ["parent"], hot=heads).groupBy(F.col("child").alias("v")).agg(F.min("b").alias("b2"))
-        lab = lab.join(down, "v", "left").join(above, "v", "left").select("v", F.least("f", F.coalesce("f2", "f")).alias("f"), F.least("b", F.coalesce("b2", "b")).alias("b"))
-        lab = cut(lab)
-        far = hot_join(hot_join(lab, lab.select(F.col("v").alias("f"), F.col("f").alias("f2")), ["f"]), lab.select(F.col("v").alias("b"), F.col("b").alias("b2")), ["b"], hot=hot_keys(lab, ["b"]))
-        lab = cut(far.select("v", F.least("f", "f2").alias("f"), F.least("b", "b2").alias("b")))
 
 
 def cycles(df: DataFrame, child: str, parent: str) -> DataFrame:

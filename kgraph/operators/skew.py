@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def hot_keys(many: DataFrame, on: list[str], most: int = 1000, least: int = 10_000) -> list:
+#: A key of fewer rows is never hot.
+LEAST_HOT = 10_000
+
+
+def hot_keys(many: DataFrame, on: list[str], most: int = 1000, least: int = LEAST_HOT) -> list:
     """The `most` heaviest keys with more than `least` rows, so every key of over 1/most of the rows; no null ones."""
     heavy = many.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > least).dropna()
     return heavy.orderBy(F.desc("_n")).limit(most).select(*on).collect()
