@@ -140,7 +140,7 @@ SELECT id, unnest(list_filter([
   CASE WHEN coalesce(len(evidence) > 0, false) THEN NULL ELSE 'evidence' END,
   CASE WHEN coalesce(provenance IS NULL OR provenance.confidence BETWEEN 0 AND 1, false) THEN NULL ELSE 'confidence' END,
   CASE WHEN id IS NOT NULL AND name IS NOT NULL AND description IS NOT NULL THEN NULL ELSE 'required' END], lambda x: x IS NOT NULL)) AS rule FROM t)""",
-    "literal_match_top3": _with(_SCORED) + "SELECT case_id, row_number() OVER w AS rank, id, shared, n_query, n_text FROM s WHERE raw >= 0.2 WINDOW w AS (PARTITION BY case_id ORDER BY raw DESC, id) QUALIFY row_number() OVER w <= 3",
+    "literal_match_top3": _with(_SCORED) + "SELECT case_id, (row_number() OVER w)::INTEGER AS rank, id, shared, n_query::INTEGER AS n_query, n_text::INTEGER AS n_text FROM s WHERE raw >= 0.2 WINDOW w AS (PARTITION BY case_id ORDER BY raw DESC, id) QUALIFY row_number() OVER w <= 3",
     "retrieval_frontier": _with(_FRONTIER) + "SELECT * FROM f",
     "operating_point": _with(_FRONTIER) + "SELECT threshold, recall FROM f ORDER BY recall DESC, threshold LIMIT 1",
     "judge_confusion": _with(_JUDGED) + "SELECT expected, count(*) FILTER (judgment = 'consistent') AS consistent, count(*) FILTER (judgment = 'scope_mismatch') AS scope_mismatch, count(*) FILTER (judgment = 'topic_mismatch') AS topic_mismatch FROM x GROUP BY expected",
@@ -152,6 +152,6 @@ SELECT id, unnest(list_filter([
     "ledger_append": "SELECT DISTINCT event_type, user_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events o WHERE o.event_id % 2 = 0 AND o.event_type IS NOT DISTINCT FROM e.event_type AND o.user_id IS NOT DISTINCT FROM e.user_id)",
     "snapshot_overlap": _with(_T) + "SELECT count(DISTINCT name) FILTER (deleted_at IS NULL) AS both, count(DISTINCT name) AS either, round(count(DISTINCT name) FILTER (deleted_at IS NULL) / count(DISTINCT name), 6) AS jaccard FROM t",
     "nearest_vectors": """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, round(greatest(0, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 5) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
-SELECT query_id, row_number() OVER w AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3""",
+SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3""",
     "event_props": "SELECT key, count(*) AS events FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY key",
 }
