@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from kgraph import schema as S
 from kgraph.functions.scoring import CLAIM_LEAST, claim_score, match_score, shared_share
 from kgraph.functions.text import bigrams, body_of, code_of, containment, folded_name, padded, paragraphs, plain, summary, topic_id
-from kgraph.hooks import mapped
+from kgraph.hooks import PROGRAMMING, mapped
 from kgraph.operators.matching import greedy
 from kgraph.session import BROADCAST_BYTES, cut, small_or_plain
 
@@ -18,6 +18,7 @@ from kgraph.session import BROADCAST_BYTES, cut, small_or_plain
 NO_STANDARD_CODE, EXTRACT_FAILED, NO_DRAFTS, GRADE_RANGE_INVERTED = "NO_STANDARD_CODE", "EXTRACT_FAILED", "NO_DRAFTS", "GRADE_RANGE_INVERTED"
 SAME_TOPIC_JUDGE_FAILED, SAME_NAME_DIFFERENT_TOPIC = "SAME_TOPIC_JUDGE_FAILED", "SAME_NAME_DIFFERENT_TOPIC"
 EDGES_FAILED, UNKNOWN_PREREQUISITE, NON_CANDIDATE_PREREQUISITE = "EDGES_FAILED", "UNKNOWN_PREREQUISITE", "NON_CANDIDATE_PREREQUISITE"
+FIDELITY_JUDGE_FAILED, NAME_JUDGE_FAILED, EDGE_JUDGE_FAILED = "FIDELITY_JUDGE_FAILED", "NAME_JUDGE_FAILED", "EDGE_JUDGE_FAILED"
 REVIEW_REJECTED, UNKNOWN_REVIEW_TARGET, UNKNOWN_EDGE_PREREQUISITE = "REVIEW_REJECTED", "UNKNOWN_REVIEW_TARGET", "UNKNOWN_EDGE_PREREQUISITE"
 EDGE_TARGET_REJECTED, EDGE_PREREQUISITE_REJECTED, ORPHANED_BY_REJECTION, DUPLICATE_EDGE = "EDGE_TARGET_REJECTED", "EDGE_PREREQUISITE_REJECTED", "ORPHANED_BY_REJECTION", "DUPLICATE_EDGE"
 FUZZY_LEAST, GRADE_GAP, EMPTY_RETRIES = 0.85, 2, 2
@@ -94,6 +95,15 @@ def fuzzy_names(names: DataFrame, column: str = "name", least: float = FUZZY_LEA
     return close.withColumn("score", containment(F.col("a"), F.col("b"))).where(F.col("score") >= least)
 
 
+def duplicate_pairs(drafts: DataFrame) -> DataFrame:
+    """(i, j), i < j, distinct: drafts of one folded name, of one standard code, or of names of containment FUZZY_LEAST."""
+    groups = name_candidates(drafts).unionByName(code_candidates(drafts))
+    same = groups.toDF("group_key", "i").join(groups.toDF("group_key", "j"), "group_key").where("i < j").select("i", "j")
+    named = drafts.select("draft_id", folded_name(F.col("content.name")).alias("f"))
+    near = fuzzy_names(drafts.select(F.col("content.name").alias("name"))).join(named.toDF("x", "a"), "a").join(named.toDF("y", "b"), "b")
+    return same.unionByName(near.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))).distinct()
+
+
 def prerequisite_counts(topics: DataFrame, gap: int = GRADE_GAP) -> DataFrame:
     """(id, candidates): how many prerequisites each topic may be offered: other topics of the same first grade with a
     smaller id, or of a grade up to `gap` lower. Counted, not paired: grade totals plus the rank of an id in its grade.
@@ -131,6 +141,26 @@ def checked_edges(edges: DataFrame, drafts: DataFrame, pool: DataFrame | None =
     return rest, drop(bad, UNKNOWN_PREREQUISITE).unionByName(drop(own, NON_CANDIDATE_PREREQUISITE))
 
 
+PROPOSAL = S.T.StructType([S.T.StructField(f, S.T.StringType()) for f in ("prerequisite_draft_id", "strength", "reason")])
+
+
+def proposed_edges(drafts: DataFrame, proposer, parallel: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """drafts -> (edges (target_draft_id, ordinal, prerequisite_draft_id, strength, reason), drops) by a proposer hook.
+
+    The hook gets a target (draft_id, name, description, grade_start) with its whole pool of candidates (the same fields) and
+    gives a list of PROPOSAL. A target without candidates isn't asked; one that fails loses its own proposals only.
+    """
+    c = drafts.select("draft_id", "content.name", "content.description", "content.grade_start")
+    ids = cut(prerequisite_pairs(*[c.select(F.col("draft_id").alias("id"), "grade_start")] * 2).toDF("target_draft_id", "prerequisite_draft_id"))
+    pool = ids.join(c.withColumnRenamed("draft_id", "prerequisite_draft_id"), "prerequisite_draft_id")
+    pool = pool.groupBy(F.col("target_draft_id").alias("draft_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("prerequisite_draft_id").alias("draft_id"), "name", "description", "grade_start"))).alias("pool"))
+    done = cut(mapped(c.join(pool, "draft_id"), proposer, S.T.ArrayType(PROPOSAL), parallel=parallel).drop("pool"))
+    failed = drop_rows(done.where("error IS NOT NULL"), "edges", F.col("draft_id"), EDGES_FAILED, F.col("error"))
+    edges = done.where("error IS NULL").select(F.col("draft_id").alias("target_draft_id"), F.posexplode("result").alias("ordinal", "p")).select("target_draft_id", "ordinal", "p.*")
+    kept, drops = checked_edges(edges, drafts, ids)
+    return kept.select(*edges.columns), failed.unionByName(drops)
+
+
 # The judgment that rejects, by aspect.
 REJECTING = {"fidelity": "fabricated", "name_desc": "topic_mismatch"}
 
@@ -149,6 +179,61 @@ def unanimous(votes: DataFrame) -> DataFrame:
     return votes.groupBy("target", "aspect").agg(F.bool_and(F.coalesce("approved", F.lit(False))).alias("approved"), F.count("*").alias("votes"))
 
 
+def _panel(judges):
+    """The judges as one hook: the votes of all of them, or the first one's failure."""
+
+    def make():
+        calls = [j() for j in judges]
+        return lambda row: [call(row) for call in calls]
+
+    return make
+
+
+def _voted(rows: DataFrame, judges, aspect: str, target: Column, parallel: int | None) -> DataFrame:
+    """rows with _target, _error, _votes and _ok: all judges approve. A judge gives {reviewer, judgment, reason, approved}, of which
+    approved counts only without a judgment (`approves`); no answer doesn't approve."""
+    if not judges:
+        raise ValueError(f"no judges for {aspect}: nothing would be reviewed")
+    done = cut(mapped(rows, _panel(judges), S.T.ArrayType(S.VOTE), parallel=parallel))
+    said = F.transform("result", lambda v: F.struct(v["reviewer"].alias("reviewer"), F.coalesce(approves(F.lit(aspect), v["judgment"], v["approved"]), F.lit(False)).alias("approved"), v["reason"].alias("reason"), v["judgment"].alias("judgment")))
+    return done.select(*rows.columns, target.alias("_target"), F.col("error").alias("_error"), said.alias("_votes")).withColumn("_ok", F.forall("_votes", lambda v: v["approved"]))
+
+
+def _outcomes(done: DataFrame, aspect: str) -> DataFrame:
+    return done.where("_error IS NULL").select(F.col("_target").alias("target"), F.lit(aspect).alias("aspect"), F.col("_votes").alias("votes"), F.col("_ok").alias("approved"))
+
+
+def reviewed_drafts(drafts: DataFrame, fidelity_judges, name_judges, parallel: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """drafts -> (kept, outcomes (target, aspect, votes, approved), drops): fidelity, then name against description.
+
+    Both aspects are judged even if the first rejects; a judge's failure drops the draft, after one of fidelity without a
+    vote on the name. The hooks get draft_id, standard_codes and the fields of the content.
+    """
+    flat = drafts.select("draft_id", "standard_codes", "content.*")
+    a = _voted(flat, fidelity_judges, "fidelity", F.col("draft_id"), parallel)
+    b = _voted(flat.join(a.where("_error IS NULL").select("draft_id"), "draft_id", "left_semi"), name_judges, "name_desc", F.col("draft_id"), parallel)
+    both = a.where("_error IS NULL").select("draft_id", F.col("_ok").alias("_f")).join(b.where("_error IS NULL").select("draft_id", F.col("_ok").alias("_n")), "draft_id")
+    failed = F.concat_ws(",", F.when(~F.col("_f"), "fidelity"), F.when(~F.col("_n"), "name_desc"))
+    drops = drop_rows(a.where("_error IS NOT NULL"), "review", F.col("draft_id"), FIDELITY_JUDGE_FAILED, F.col("_error"))
+    drops = drops.unionByName(drop_rows(b.where("_error IS NOT NULL"), "review", F.col("draft_id"), NAME_JUDGE_FAILED, F.col("_error")))
+    drops = drops.unionByName(drop_rows(both.where("NOT (_f AND _n)"), "review", F.col("draft_id"), REVIEW_REJECTED, failed))
+    kept = drafts.join(both.where("_f AND _n").select("draft_id"), "draft_id", "left_semi")
+    return kept, _outcomes(a, "fidelity").unionByName(_outcomes(b, "name_desc")), drops
+
+
+def judged_edges(edges: DataFrame, drafts: DataFrame, judges, parallel: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """edges between drafts -> (kept, outcomes, drops). A hook gets the edge, with both ends' names, descriptions and grades
+    as target_* and prerequisite_*."""
+    known, lost = resolved_edges(edges, drafts)
+    rows = known
+    for end in ("target", "prerequisite"):
+        rows = rows.join(drafts.select(F.col("draft_id").alias(f"{end}_draft_id"), *[F.col(f"content.{f}").alias(f"{end}_{f}") for f in ("name", "description", "grade_start")]), f"{end}_draft_id")
+    done = _voted(rows, judges, "edge_reason", F.concat_ws("<-", "target_draft_id", "prerequisite_draft_id"), parallel)
+    drops = lost.unionByName(drop_rows(done.where("_error IS NOT NULL"), "review", F.col("_target"), EDGE_JUDGE_FAILED, F.col("_error")))
+    drops = drops.unionByName(drop_rows(done.where("_error IS NULL AND NOT _ok"), "review", F.col("_target"), REVIEW_REJECTED, F.lit("edge_reason")))
+    return done.where("_error IS NULL AND _ok").select(*edges.columns), _outcomes(done, "edge_reason"), drops
+
+
 def reviewed_edges(edges: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges between kept drafts, drops): a rejected target drops the edge, else a rejected prerequisite does."""
     ids = kept.select("draft_id").distinct()
@@ -272,6 +357,8 @@ def folded(drafts: DataFrame, pairs: DataFrame, components: DataFrame, judge) ->
                 continue
             try:
                 same, why = ask({"a": a, "b": b})
+            except PROGRAMMING:
+                raise
             except Exception as e:  # noqa: BLE001
                 out.append(["drop", f"{a['draft_id']}|{b['draft_id']}", "", str(e)])
                 continue
@@ -305,16 +392,18 @@ def unclashed(drafts: DataFrame, most_rounds: int = 10) -> tuple[DataFrame, Data
     for k in range(most_rounds + 1):
         d = cut(d.withColumn("_f", folded_name(F.col("name"))))
         by = ["_f"] if k == most_rounds else ["_f", "grade_start"]
-        first = d.groupBy(*by).agg(F.min("draft_id").alias("_k"))
+        # renamed, since the group's columns would else be taken for d's own
+        first = d.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.min("draft_id").alias("_k"))
         same = None
         for c in by:
-            same = d[c].eqNullSafe(first[c]) if same is None else same & d[c].eqNullSafe(first[c])
-        j = d.join(first.select(*[first[c].alias(c) for c in by], "_k"), same).select(*[d[c] for c in d.columns], "_k")
+            one = F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+            same = one if same is None else same & one
+        j = d.join(first, same).select(*d.columns, "_k")
         lost = drop_rows(j.where("draft_id <> _k"), "dedupe", F.col("draft_id"), SAME_NAME_DIFFERENT_TOPIC, F.concat_ws(" ", "name", "_k"))
         drops = lost if drops is None else drops.unionByName(lost)
         d = j.where("draft_id = _k").drop("_k")
         many = d.groupBy("_f").agg(F.count("*").alias("_n"))
-        d = cut(d.join(many, "_f").withColumn("name", F.when(F.col("_n") > 1, F.concat("name", F.lit("（"), F.col("grade_start").cast("string"), F.lit("年级）"))).otherwise(F.col("name"))))
+        d = cut(d.join(many, "_f", "left").withColumn("name", F.when(F.col("_n") > 1, F.concat("name", F.lit("（"), F.col("grade_start").cast("string"), F.lit("年级）"))).otherwise(F.col("name"))))
         again = d.where("_n > 1").take(1)
         d = d.drop("_f", "_n")
         if not again:

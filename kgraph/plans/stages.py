@@ -40,6 +40,14 @@ class Run:
             write_stage(make(), path)
         return self.spark.read.parquet(path)
 
+    def stages(self, names: list[str], make: Callable[[], tuple[DataFrame, ...]]) -> list[DataFrame]:
+        """The several outputs of one step, in the order of names; unless all were finished, all are made anew."""
+        if not all(_exists(self.spark, f"{self.out}/{n}/_SUCCESS") for n in names):
+            self.clear(names)
+            for n, df in zip(names, make(), strict=True):
+                write_stage(df, f"{self.out}/{n}")
+        return [self.spark.read.parquet(f"{self.out}/{n}") for n in names]
+
     def clear(self, names: list[str]) -> None:
         """Forget stages, so that they are made again."""
         for n in names:
