@@ -129,6 +129,27 @@ def cycles(df: DataFrame, child: str, parent: str) -> DataFrame:
     return found.unionByName(own.join(found.select("node"), "node", "left_anti").select("cycle_id", "node"))
 
 
+def _forest(tree: DataFrame, spread: int) -> DataFrame:
+    """tree (v, p), p null at a root -> the columns of `nested_sets`, all of status tree."""
+    s = tree.select("v", F.col("p").alias("j"), F.lit(1).cast("long").alias("size"))
+    while s.where("j IS NOT NULL").take(1):
+        below = s.where("j IS NOT NULL").groupBy(F.col("j").alias("v")).agg(F.sum("size").alias("more"))
+        up = s.select(F.col("v").alias("j"), F.col("j").alias("j2"))
+        s2 = hot_join(s, up, ["j"], "left").select("v", F.col("j2").alias("j"), "size")
+        s = cut(s2.join(below, "v", "left").select("v", "j", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
+    sized = tree.join(s.select("v", "size"), "v").withColumn("bucket", F.pmod(F.xxhash64("v"), F.lit(spread)).cast("int"))
+    totals = sized.groupBy("p", "bucket").agg(F.sum("size").alias("t"))
+    before = totals.select(F.col("p").alias("p2"), F.col("bucket").alias("bucket2"), F.coalesce(F.sum("t").over(Window.partitionBy("p").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    inside = F.coalesce(F.sum("size").over(Window.partitionBy("p", "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = sized.withColumn("inside", inside).join(before, F.col("p").eqNullSafe(F.col("p2")) & (F.col("bucket") == F.col("bucket2")))
+    # below its parent, a node's offset is one more than all earlier siblings' sizes
+    w = cut(placed.select("v", "p", "size", F.col("p").alias("j"), (F.col("earlier") + F.col("inside") + F.lit(1)).alias("lft"), F.lit(1).alias("hops"), F.col("v").alias("path"), F.coalesce("p", "v").alias("root")))
+    while w.where("j IS NOT NULL").take(1):
+        up = w.select(F.col("v").alias("j"), F.col("j").alias("j2"), F.col("lft").alias("l2"), F.col("hops").alias("h2"), F.col("path").alias("s2"), F.col("root").alias("r2"))
+        w = cut(hot_join(w, up, ["j"], "left").select("v", "p", "size", F.col("j2").alias("j"), (F.col("lft") + F.coalesce("l2", F.lit(0))).alias("lft"), (F.col("hops") + F.coalesce("h2", F.lit(0))).alias("hops"), F.concat_ws("/", "s2", "path").alias("path"), F.coalesce("r2", "root").alias("root")))
+    return w.select(F.col("v").alias("node"), F.lit("tree").alias("status"), F.col("p").alias("parent"), "root", (F.col("hops") - 1).cast("int").alias("depth"), "path", "lft", (F.col("lft") + F.col("size") - 1).alias("rgt"), (F.col("size") - 1).alias("descendants"))
+
+
 def nested_sets(df: DataFrame, child: str, parent: str, nodes: DataFrame | None = None, spread: int = 64) -> DataFrame:
     """(node, status, parent, root, depth, path, lft, rgt, descendants): one row an id.
 
@@ -155,27 +176,35 @@ def nested_sets(df: DataFrame, child: str, parent: str, nodes: DataFrame | None
     odd = cut(unprocessed(e.unionByName(loop)).where(~F.endswith("v", F.lit("\0self"))))
     first = hot_join(e.groupBy(F.col("child").alias("v")).agg(F.min("parent").alias("p")), odd, ["v"], "left_anti")
     tree = cut(ids.join(odd, "v", "left_anti").join(first, "v", "left"))
-    s = tree.select("v", F.col("p").alias("j"), F.lit(1).cast("long").alias("size"))
-    while s.where("j IS NOT NULL").take(1):
-        below = s.where("j IS NOT NULL").groupBy(F.col("j").alias("v")).agg(F.sum("size").alias("more"))
-        up = s.select(F.col("v").alias("j"), F.col("j").alias("j2"))
-        s2 = hot_join(s, up, ["j"], "left").select("v", F.col("j2").alias("j"), "size")
-        s = cut(s2.join(below, "v", "left").select("v", "j", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
-    sized = tree.join(s.select("v", "size"), "v").withColumn("bucket", F.pmod(F.xxhash64("v"), F.lit(spread)).cast("int"))
-    totals = sized.groupBy("p", "bucket").agg(F.sum("size").alias("t"))
-    before = totals.select(F.col("p").alias("p2"), F.col("bucket").alias("bucket2"), F.coalesce(F.sum("t").over(Window.partitionBy("p").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
-    inside = F.coalesce(F.sum("size").over(Window.partitionBy("p", "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = sized.withColumn("inside", inside).join(before, F.col("p").eqNullSafe(F.col("p2")) & (F.col("bucket") == F.col("bucket2")))
-    # below its parent, a node's offset is one more than all earlier siblings' sizes
-    w = cut(placed.select("v", "p", "size", F.col("p").alias("j"), (F.col("earlier") + F.col("inside") + F.lit(1)).alias("lft"), F.lit(1).alias("hops"), F.col("v").alias("path"), F.coalesce("p", "v").alias("root")))
-    while w.where("j IS NOT NULL").take(1):
-        up = w.select(F.col("v").alias("j"), F.col("j").alias("j2"), F.col("lft").alias("l2"), F.col("hops").alias("h2"), F.col("path").alias("s2"), F.col("root").alias("r2"))
-        w = cut(hot_join(w, up, ["j"], "left").select("v", "p", "size", F.col("j2").alias("j"), (F.col("lft") + F.coalesce("l2", F.lit(0))).alias("lft"), (F.col("hops") + F.coalesce("h2", F.lit(0))).alias("hops"), F.concat_ws("/", "s2", "path").alias("path"), F.coalesce("r2", "root").alias("root")))
-    done = w.select(F.col("v").alias("node"), F.lit("tree").alias("status"), F.col("p").alias("parent"), "root", (F.col("hops") - 1).cast("int").alias("depth"), "path", "lft", (F.col("lft") + F.col("size") - 1).alias("rgt"), (F.col("size") - 1).alias("descendants"))
+    done = _forest(tree, spread)
     bad = odd.join(loops.select(F.col("node").alias("v"), F.lit("cycle").alias("s")), "v", "left").select(F.col("v").alias("node"), F.coalesce("s", F.lit("behind")).alias("status"), *[F.lit(None).cast(done.schema[c].dataType).alias(c) for c in done.columns[2:]])
     return done.unionByName(bad)
 
 
+def contracted(df: DataFrame, child: str, parent: str, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(links (parent, child), members (node, v, looped)) with each cycle as one node, so that the links have no cycles.
+
+    v stands for node in the links: the cycle_id of `cycles` for an id on a cycle (looped), else the id itself. Links inside a
+    cycle are left out; all others stay, so whatever is above or below a cycle keeps its place.
+    """
+    whole = cut(links(df, child, parent))
+    ids = whole.select(F.explode(F.array("parent", "child")).alias("node"))
+    if nodes is not None:
+        ids = ids.unionByName(nodes.toDF("node").select(F.col("node").cast("string")).where("node IS NOT NULL"))
+    loops = cut(cycles(df, child, parent))
+    members = cut(ids.distinct().join(loops, "node", "left").select("node", F.coalesce("cycle_id", "node").alias("v"), F.col("cycle_id").isNotNull().alias("looped")))
+    stands = loops.select(F.col("node").alias("child"), F.col("cycle_id").alias("c"))
+    e = hot_join(whole, stands, ["child"], "left").select("parent", F.coalesce("c", "child").alias("child"))
+    e = hot_join(e, stands.toDF("parent", "c"), ["parent"], "left").select(F.coalesce("c", "parent").alias("parent"), "child")
+    return cut(e.where("parent <> child").distinct()), members
+
+
+def places(e: DataFrame, members: DataFrame, spread: int = 64) -> DataFrame:
+    """`nested_sets` of `contracted` links: (v as node, ...), every one of status tree."""
+    first = e.groupBy(F.col("child").alias("v")).agg(F.min("parent").alias("p"))
+    return _forest(cut(members.select("v").distinct().join(first, "v", "left")), spread)
+
+
 def ancestry(sets: DataFrame, df: DataFrame, child: str, parent: str) -> DataFrame:
     """(ancestor, descendant): all pairs over all links between nodes of status tree; sets are `nested_sets` of df.
 

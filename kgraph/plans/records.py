@@ -18,22 +18,55 @@ def _sets(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.nested_sets(table(spark, d, "dependencies"), "topic_id", "prerequisite_id", table(spark, d, "topics").select("id"))
 
 
+def _contracted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, members, places) of dependencies, with each cycle as one node."""
+    e, members = hierarchy.contracted(table(spark, d, "dependencies"), "topic_id", "prerequisite_id", table(spark, d, "topics").select("id"))
+    return e, members, cut(hierarchy.places(e, members))
+
+
 def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return _sets(spark, d).withColumnRenamed("node", "topic_id")
+    """(topic_id, status, parent, root, depth, path, lft, rgt, descendants): one row an id.
+
+    status is tree, cycle (on a cycle) or behind (below one). In parent, root and path, a cycle is one node and
+    has its cycle_id of p4_found; the topics on it share its place.
+    """
+    return nodes(*_contracted(spark, d))
+
+
+def nodes(e: DataFrame, members: DataFrame, places: DataFrame) -> DataFrame:
+    pairs = cut(hierarchy.ancestry(places, e, "child", "parent"))
+    behind = pairs.join(members.where("looped").select(F.col("v").alias("ancestor")).distinct(), "ancestor", "left_semi").select(F.col("descendant").alias("v"), F.lit(True).alias("behind")).distinct()
+    status = F.when(F.col("looped"), "cycle").when(F.col("behind"), "behind").otherwise("tree")
+    return members.join(places.drop("status").withColumnRenamed("node", "v"), "v").join(behind, "v", "left").select(F.col("node").alias("topic_id"), status.alias("status"), "parent", "root", "depth", "path", "lft", "rgt", "descendants")
 
 
 def p4_ancestry(spark: SparkSession, d: str) -> DataFrame:
+    """(ancestor, descendant) among topics that are neither on a cycle nor below one, as its SQL has it; p4_descendants has all."""
     return hierarchy.ancestry(cut(_sets(spark, d)), table(spark, d, "dependencies"), "topic_id", "prerequisite_id")
 
 
+def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """(ancestor, descendant): all pairs of ids, those on cycles and below them too. Ids of one cycle are no pair; p4_found has them."""
+    return expanded(*_contracted(spark, d))
+
+
+def expanded(e: DataFrame, members: DataFrame, places: DataFrame) -> DataFrame:
+    m = members.select("node", "v")
+    above = hierarchy.ancestry(places, e, "child", "parent").join(m.toDF("a", "ancestor"), "ancestor")
+    return above.join(m.toDF("b", "descendant"), "descendant").select(F.col("a").alias("ancestor"), F.col("b").alias("descendant"))
+
+
 def p4_roots(spark: SparkSession, d: str) -> DataFrame:
-    """(topic_id, root_id): every topic of the forest with each root above it, a root with itself."""
-    s = cut(_sets(spark, d))
-    tree = s.where("status = 'tree'")
-    roots = tree.where("depth = 0").select(F.col("node").alias("root_id"))
-    pairs = hierarchy.ancestry(s, table(spark, d, "dependencies"), "topic_id", "prerequisite_id")
-    above = pairs.join(roots, pairs.ancestor == roots.root_id).select(F.col("descendant").alias("topic_id"), "root_id")
-    return above.unionByName(roots.select(F.col("root_id").alias("topic_id"), "root_id"))
+    """(topic_id, root_id): every id with each root above it, a root with itself. A cycle with nothing above it is a root by
+    its cycle_id."""
+    return roots(*_contracted(spark, d))
+
+
+def roots(e: DataFrame, members: DataFrame, places: DataFrame) -> DataFrame:
+    top = places.where("depth = 0").select(F.col("node").alias("root_id"))
+    above = hierarchy.ancestry(places, e, "child", "parent").join(top, F.col("ancestor") == F.col("root_id")).select(F.col("descendant").alias("v"), "root_id")
+    every = above.unionByName(top.select(F.col("root_id").alias("v"), "root_id"))
+    return every.join(members.select("v", F.col("node").alias("topic_id")), "v").select("topic_id", "root_id")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +84,7 @@ def p6_monthly(spark: SparkSession, d: str) -> DataFrame:
     return p6_found(spark, d).groupBy("table_name", "field_name", "kind", "period").agg(F.count("*").alias("failing"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_nodes, p4_ancestry, p4_roots, p6_found, p6_monthly)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_nodes, p4_ancestry, p4_descendants, p4_roots, p6_found, p6_monthly)}
 
 _ORPHANS = """
 WITH refs AS (
