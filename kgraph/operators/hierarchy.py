@@ -205,6 +205,21 @@ def places(e: DataFrame, members: DataFrame, spread: int = 64) -> DataFrame:
     return _forest(cut(members.select("v").distinct().join(first, "v", "left")), spread)
 
 
+def paths(e: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, path): every path (ids joined by '/') from a root to each v of members, over acyclic links (parent, child).
+
+    Pieces double in length each round: the piece that starts below a root is continued by all pieces that end at its start.
+    Each is the end of at least one whole path, so no round holds more rows than come out; rounds grow with the
+    logarithm of the depth.
+    """
+    w = cut(members.select("v").distinct().join(e.select(F.col("child").alias("v"), F.col("parent").alias("j")), "v", "left").select("v", "j", F.col("v").alias("path")))
+    while w.where("j IS NOT NULL").take(1):
+        up = w.select(F.col("v").alias("j"), F.col("j").alias("j2"), F.col("path").alias("above"))
+        longer = hot_join(w.where("j IS NOT NULL"), up, ["j"]).select("v", F.col("j2").alias("j"), F.concat_ws("/", "above", "path").alias("path"))
+        w = cut(w.where("j IS NULL").unionByName(longer))
+    return w.select(F.col("v").alias("node"), "path")
+
+
 def ancestry(sets: DataFrame, df: DataFrame, child: str, parent: str) -> DataFrame:
     """(ancestor, descendant): all pairs over all links between nodes of status tree; sets are `nested_sets` of df.
 

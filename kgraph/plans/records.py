@@ -28,16 +28,26 @@ def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
     """(topic_id, status, parent, root, depth, path, lft, rgt, descendants): one row an id.
 
     status is tree, cycle (on a cycle) or behind (below one). In parent, root and path, a cycle is one node and
-    has its cycle_id of p4_found; the topics on it share its place.
+    has its cycle_id of p4_found; the topics on it share its place. Of several parents the smallest gives parent, root,
+    depth, path and the range; p4_paths and p4_roots have the others'. descendants counts the ids below over all links.
     """
     return nodes(*_contracted(spark, d))
 
 
 def nodes(e: DataFrame, members: DataFrame, places: DataFrame) -> DataFrame:
     pairs = cut(hierarchy.ancestry(places, e, "child", "parent"))
+    size = members.groupBy(F.col("v").alias("descendant")).agg(F.count("*").alias("n"))
+    below = pairs.join(size, "descendant").groupBy(F.col("ancestor").alias("v")).agg(F.sum("n").alias("below"))
     behind = pairs.join(members.where("looped").select(F.col("v").alias("ancestor")).distinct(), "ancestor", "left_semi").select(F.col("descendant").alias("v"), F.lit(True).alias("behind")).distinct()
     status = F.when(F.col("looped"), "cycle").when(F.col("behind"), "behind").otherwise("tree")
-    return members.join(places.drop("status").withColumnRenamed("node", "v"), "v").join(behind, "v", "left").select(F.col("node").alias("topic_id"), status.alias("status"), "parent", "root", "depth", "path", "lft", "rgt", "descendants")
+    rows = members.join(places.drop("status", "descendants").withColumnRenamed("node", "v"), "v").join(behind, "v", "left").join(below, "v", "left")
+    return rows.select(F.col("node").alias("topic_id"), status.alias("status"), "parent", "root", "depth", "path", "lft", "rgt", F.coalesce("below", F.lit(0)).alias("descendants"))
+
+
+def p4_paths(spark: SparkSession, d: str) -> DataFrame:
+    """(topic_id, path): every path from a root to an id, over all its parents; a cycle is one node, as in p4_nodes."""
+    e, members = hierarchy.contracted(table(spark, d, "dependencies"), "topic_id", "prerequisite_id", table(spark, d, "topics").select("id"))
+    return members.join(hierarchy.paths(e, members).withColumnRenamed("node", "v"), "v").select(F.col("node").alias("topic_id"), "path")
 
 
 def p4_ancestry(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +94,7 @@ def p6_monthly(spark: SparkSession, d: str) -> DataFrame:
     return p6_found(spark, d).groupBy("table_name", "field_name", "kind", "period").agg(F.count("*").alias("failing"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_nodes, p4_ancestry, p4_descendants, p4_roots, p6_found, p6_monthly)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_nodes, p4_ancestry, p4_descendants, p4_roots, p4_paths, p6_found, p6_monthly)}
 
 _ORPHANS = """
 WITH refs AS (

@@ -1,6 +1,6 @@
 import random
 
-from kgraph.operators.hierarchy import contracted, places
+from kgraph.operators.hierarchy import contracted, paths, places
 from kgraph.plans import records
 
 
@@ -51,3 +51,19 @@ def test_below_cycles(spark):
     top = {cyc.get(v, v) for v in r} - {cyc.get(b, b) for a in r for b in r[a] if cyc.get(a, a) != cyc.get(b, b)}
     want = {(v, t) for t in top for v in r if v in r[t] or v == t or cyc.get(v) == t} | {("lone", "lone")}
     assert {tuple(x) for x in records.roots(*got).collect()} == want
+
+
+def test_all_parents_count(spark):
+    pairs = graph()
+    r = reachable(pairs)
+    cyc = {v: min(u for u in r[v] if v in r[u]) for v in r if v in r[v]}
+    e, members, held = parts(spark, pairs)
+    rows = {x["topic_id"]: x["descendants"] for x in records.nodes(e, members, held).collect()}
+    assert rows == {v: sum(cyc.get(b, b) != cyc.get(v, v) for b in r[v]) for v in r} | {"lone": 0}
+    above = {}
+    for c, p in pairs:
+        if cyc.get(c, c) != cyc.get(p, p):
+            above.setdefault(cyc.get(c, c), set()).add(cyc.get(p, p))
+    every = lambda v: [q + "/" + v for p in above[v] for q in every(p)] if v in above else [v]
+    want = sorted((v, q) for v in {cyc.get(x, x) for x in r} | {"lone"} for q in every(v))
+    assert sorted(tuple(x) for x in paths(e, members).collect()) == want and len(want) > len(rows)
