@@ -235,7 +235,7 @@ class Matcher:
             best = max(whole, key=len)
             if len(best) * 2 > len(key):
                 rest = key.replace(best, "", 1)
-                if not any(x in rest for x in contents):
+                if not any(m[2] in rest for m in contents):
                     return self.whole[best], "mention", len(best) / len(key)
         joints = "".join(self.joint)
         if contents:
