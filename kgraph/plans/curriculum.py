@@ -88,15 +88,19 @@ def new_topic_ids(spark, d):
     return topics(spark, d).select("id", topic_id(F.col("name"), F.col("domain"), F.col("grade_start")).alias("made_id"))
 
 
+def _chunked(spark, d):
+    """Every document as a source file, whatever its source, as the curation run takes every text."""
+    name = F.concat(F.lpad(F.col("doc_id").cast("string"), F.greatest(F.lit(12), F.length(F.col("doc_id").cast("string"))), "0"), F.lit(".md"))
+    return curate.chunks(table(spark, d, "documents").select(name.alias("source_file"), "text"))
+
+
 def chunk_texts(spark, d):
-    """Numbered paragraphs of the standard texts; a document is a source file."""
-    docs = table(spark, d, "documents").where("source = 'standard_text'").select(F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".md")).alias("source_file"), "text")
-    return curate.chunks(docs)[0].select("id", "standard_code", F.length("text").alias("chars"), "ordinal")
+    """Numbered paragraphs of all documents."""
+    return _chunked(spark, d)[0].select("id", "standard_code", F.length("text").alias("chars"), "ordinal")
 
 
 def chunk_drops(spark, d):
-    docs = table(spark, d, "documents").where("source = 'standard_text'").select(F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".md")).alias("source_file"), "text")
-    return curate.chunks(docs)[1].select("stage", "ref", "reason")
+    return _chunked(spark, d)[1].select("stage", "ref", "reason")
 
 
 def inverted_grades(spark, d):
