@@ -126,6 +126,18 @@ def same_code_drafts(spark, d):
     return curate.code_candidates(kept_drafts(spark, d)).select("draft_id", F.col("group_key").alias("code"))
 
 
+def same_folded_names(spark, d):
+    """Kept drafts that share a name in the operator's own folded form, which SQL can't repeat (same_name_drafts has a plainer one)."""
+    ship(spark)
+    return curate.name_candidates(kept_drafts(spark, d)).select("draft_id", "group_key")
+
+
+def similar_draft_names(spark, d):
+    """Fuzzy pairs among the names of kept drafts."""
+    ship(spark)
+    return curate.fuzzy_names(kept_drafts(spark, d).select("content.name")).select("a", "b", F.round("score", 6).alias("score"))
+
+
 def similar_entry_names(spark, d):
     """Fuzzy pairs among the registry's names."""
     ship(spark)
@@ -357,7 +369,7 @@ def event_props(spark, d):
 
 _ALL = (
     topic_cards, topics_of_grade5, search_fraction_topics, text_corpus, misconception_list, new_topic_ids, chunk_texts, chunk_drops, inverted_grades,
-    link_names, same_name_drafts, same_code_drafts, similar_entry_names, prerequisite_pool_sizes, registry_claims, registry_assignment, unknown_prerequisites,
+    link_names, same_name_drafts, same_folded_names, same_code_drafts, similar_entry_names, similar_draft_names, prerequisite_pool_sizes, registry_claims, registry_assignment, unknown_prerequisites,
     review_unresolved, edge_prefilter, orphaned_drafts, graph_stats, grade_histogram, curriculum_codes, review_statuses, standards_coverage, unanimous_reviews,
     mapped_votes, single_edges, duplicate_edges, merged_evidence, prerequisites_depth2, prerequisites_hard, chains, spiral_notes, dangling_links,
     isolated_topics, grade_inversions, revisits_not_advancing, missing_provenance, finding_summary, topic_violations, literal_match_top3,

@@ -1,5 +1,12 @@
+import difflib
+import re
+import unicodedata
+from datetime import datetime
+
 from kgraph.plans import curriculum
 
+AT = datetime(2026, 1, 1)
+
 
 def written(spark, tmp_path, name, rows, schema):
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
@@ -11,3 +18,16 @@ def test_documents_of_any_source_are_chunked(spark, tmp_path):
     d = written(spark, tmp_path, "documents", [(i, "1.1 one\n\nplain", s) for i, s in enumerate(sources)], "doc_id long, text string, source string")
     assert sorted(r["id"] for r in curriculum.chunk_texts(spark, d).collect()) == [f"{i:012d}#001" for i in range(6)]
     assert sorted(r["ref"] for r in curriculum.chunk_drops(spark, d).collect()) == [f"{i:012d}¶002" for i in range(6)]
+
+
+def test_duplicate_names_of_drafts(spark, tmp_path):
+    names = ["分数的认识", "分数 的认识", "分数·的认识", "分数　的认识", "ＡＢ分数", "ab分数", "小数乘法的应用", "小数乘法应用", "小数除法", "!!", None, "条形统计图的估测", "条形统计图估侧"]
+    rows = [(f"d{i:02d}", (n,), AT, AT if n == "小数除法" else None) for i, n in enumerate(names)]
+    d = written(spark, tmp_path, "drafts", rows, "draft_id string, content struct<name: string>, ingested_at timestamp, deleted_at timestamp")
+    fold = {r[0]: re.sub(r"[\W_]+", "", unicodedata.normalize("NFKC", r[1][0]).lower()) for r in rows if r[1][0] is not None and r[3] is None}
+    same = {(i, f) for i, f in fold.items() if list(fold.values()).count(f) > 1}
+    assert {tuple(r) for r in curriculum.same_folded_names(spark, d).collect()} == same and len(same) == 6
+    share = lambda a, b: sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks()) / min(len(a), len(b))
+    keys = sorted(set(fold.values()) - {""})
+    want = {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if share(a, b) >= 0.85}
+    assert {(r["a"], r["b"]) for r in curriculum.similar_draft_names(spark, d).collect()} == want and want
