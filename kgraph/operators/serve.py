@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgraph.functions.scoring import LITERAL, Scorer, match_score, search_score
+from kgraph.functions.scoring import LITERAL, Scorer, match_score, search_score, shared_grams
 from kgraph.functions.text import summary
-from kgraph.operators.graph import Graph, TopicNotFound
+from kgraph.operators.graph import Graph, TopicNotFound, ranked
 
 
 def provenance_or_default(c: Column) -> Column:
@@ -59,6 +59,20 @@ def match_misconceptions(g: Graph, observation: str, limit: int = 5, scorer: Sco
     return d.orderBy(F.desc("score"), "id", "position").limit(_limit(limit)).drop("_s", "_p", "_h")
 
 
+def match_all(topics: DataFrame, observations: DataFrame, limit: int = 5) -> DataFrame:
+    """(case_id, rank, id, position, score): `match_misconceptions` by bigrams for every observation (case_id, text) at once."""
+    m = misconception_rows(topics).withColumn("row", F.struct("id", "position"))
+    found = None
+    for f in ("statement", "probe", "correction_hint"):
+        s = shared_grams(observations, m, "case_id", "row", "text", f)
+        s = s.select("case_id", "row", F.lit(f).alias("field"), (F.col("shared") / F.least("n_query", "n_text")).alias("share"))
+        found = s if found is None else found.unionByName(s)
+    best = lambda f: F.coalesce(F.max(F.when(F.col("field") == f, F.col("share"))), F.lit(0.0)).alias(f)
+    d = found.groupBy("case_id", "row").agg(best("statement"), best("probe"), best("correction_hint"))
+    d = d.where(F.greatest("statement", "probe", "correction_hint") >= LITERAL.least).select("case_id", "row.id", "row.position", match_score(F.col("statement"), F.col("probe"), F.col("correction_hint")).alias("score"))
+    return ranked(d, ["case_id"], [F.desc("score"), F.asc("id"), F.asc("position")], _limit(limit)).select("case_id", "rank", "id", "position", "score")
+
+
 def corpus_texts(topics: DataFrame) -> DataFrame:
     """(text): the distinct searchable texts: names, descriptions, and the three strings of each misconception."""
     own = topics.select(F.explode(F.array("name", "description")).alias("text"))

@@ -4,4 +4,4 @@ from kgraph.plans import curriculum, curriculum_sql, records
 
 QUERIES: dict = {**records.QUERIES, **curriculum.QUERIES}
 ORACLES: dict = {**records.ORACLES, **curriculum_sql.ORACLES}
-FLAGSHIP = "literal_match_top3"
+FLAGSHIP = "observation_top5"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kgraph import schema as S
-from kgraph.functions.scoring import cosine, shared_grams
+from kgraph.functions.scoring import LITERAL, cosine, search_score, shared_grams
 from kgraph.functions.text import bigrams, plain, topic_id
 from kgraph.operators import curate, evaluate, serve, validate
 from kgraph.operators.graph import Graph, chain_lengths, latest, prerequisites, ranked, revisit_notes
@@ -76,6 +76,13 @@ def search_fraction_topics(spark, d):
     return x.where("least > 0 AND shared >= 0.2 * least").select("id", "name", "shared", "least")
 
 
+def search_fraction_texts(spark, d):
+    """All topics that the query finds by the better of name and description, as in search_topics."""
+    q = LITERAL.prepare(F.lit("条形统计图的估测"))
+    t = topics(spark, d).select("id", "name", *[LITERAL.relevance(q, LITERAL.prepare(F.col(c))).alias(k) for c, k in (("name", "n"), ("description", "d"))])
+    return t.where(F.greatest("n", "d") >= LITERAL.least).select("id", "name", F.round(search_score(F.col("n"), F.col("d")), 6).alias("score"))
+
+
 def text_corpus(spark, d):
     return serve.corpus_texts(topics(spark, d))
 
@@ -285,14 +292,22 @@ def topic_violations(spark, d):
 
 
 def _cases(spark, d):
-    """Aliases as observations that mean their entry; names of topics no entry has expect nothing."""
+    """Aliases as observations that mean their entry."""
     e = table(spark, d, "registry_entries").where("id IS NOT NULL")
     return e.select("id", F.explode("aliases").alias("text")).where("length(text) > 0").groupBy(F.col("text").alias("case_id")).agg(F.sort_array(F.collect_set("id")).alias("expected"))
 
 
-def _scored(spark, d):
+def _all_cases(spark, d):
+    """_cases, and names of topics that are no entry's name or alias, which expect nothing."""
+    e = table(spark, d, "registry_entries")
+    known = e.select(F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("text")).select(plain(F.col("text")).alias("k")).where("k IS NOT NULL").distinct()
+    t = topics(spark, d).select(F.col("name").alias("case_id"), plain(F.col("name")).alias("k")).where("length(k) > 0").distinct()
+    return _cases(spark, d).unionByName(t.join(known, "k", "left_anti").select("case_id", F.array().cast("array<string>").alias("expected")))
+
+
+def _scored(spark, d, cases=None):
     e = table(spark, d, "registry_entries").where("id IS NOT NULL AND name IS NOT NULL").select("id", "name").groupBy("id").agg(F.min("name").alias("name"))
-    s = shared_grams(_cases(spark, d).select("case_id", F.col("case_id").alias("text")), e, "case_id", "id", "text", "name")
+    s = shared_grams((_cases(spark, d) if cases is None else cases).select("case_id", F.col("case_id").alias("text")), e, "case_id", "id", "text", "name")
     x = F.col("shared") / F.least("n_query", "n_text")
     return s.select("case_id", "id", "shared", "n_query", "n_text", x.alias("raw"), x.alias("score"))
 
@@ -310,6 +325,29 @@ def operating_point(spark, d):
     return evaluate.operating_point(retrieval_frontier(spark, d), 1.0).select("threshold", "recall")
 
 
+def observation_top5(spark, d):
+    """The five misconceptions nearest to each alias as an observation, of all topics, by statement, probe and hint."""
+    x = serve.match_all(topics(spark, d), _cases(spark, d).select("case_id", F.col("case_id").alias("text")))
+    return x.select("case_id", "rank", "id", "position", F.round("score", 6).alias("score"))
+
+
+def _frontier_all(spark, d):
+    c = cut(_all_cases(spark, d))
+    # raw and score are one here, so the first three hold the first three above any threshold
+    first = cut(ranked(_scored(spark, d, c), ["case_id"], [F.desc("score"), F.asc("id")], 3).drop("rank"))
+    return evaluate.frontier(c, first, evaluate.threshold_range(0.05, 0.95, 0.05))
+
+
+def retrieval_frontier_all(spark, d):
+    """The frontier with the cases that expect nothing."""
+    return _frontier_all(spark, d).select("threshold", F.round("recall", 6).alias("recall"), F.round("empty_accuracy", 6).alias("empty_accuracy"), "cases", "empty_cases")
+
+
+def operating_point_all(spark, d):
+    """No row if no threshold finds nothing for all cases that expect nothing."""
+    return evaluate.operating_point(_frontier_all(spark, d), 1.0).select("threshold", F.round("recall", 6).alias("recall"))
+
+
 def _judged(spark, d):
     """Every three-way vote beside the most frequent judgment of its item, the first by name of equal ones."""
     v = votes(spark, d).where("aspect = 'name_desc' AND judgment IS NOT NULL")
@@ -368,12 +406,12 @@ def event_props(spark, d):
 
 
 _ALL = (
-    topic_cards, topics_of_grade5, search_fraction_topics, text_corpus, misconception_list, new_topic_ids, chunk_texts, chunk_drops, inverted_grades,
+    topic_cards, topics_of_grade5, search_fraction_topics, search_fraction_texts, text_corpus, misconception_list, new_topic_ids, chunk_texts, chunk_drops, inverted_grades,
     link_names, same_name_drafts, same_folded_names, same_code_drafts, similar_entry_names, similar_draft_names, prerequisite_pool_sizes, registry_claims, registry_assignment, unknown_prerequisites,
     review_unresolved, edge_prefilter, orphaned_drafts, graph_stats, grade_histogram, curriculum_codes, review_statuses, standards_coverage, unanimous_reviews,
     mapped_votes, single_edges, duplicate_edges, merged_evidence, prerequisites_depth2, prerequisites_hard, chains, spiral_notes, dangling_links,
     isolated_topics, grade_inversions, revisits_not_advancing, missing_provenance, finding_summary, topic_violations, literal_match_top3,
-    retrieval_frontier, operating_point, judge_confusion, judge_scores, latency_levels, ledger_append, snapshot_overlap, statement_retention,
+    observation_top5, retrieval_frontier, retrieval_frontier_all, operating_point, operating_point_all, judge_confusion, judge_scores, latency_levels, ledger_append, snapshot_overlap, statement_retention,
     nearest_vectors, event_props,
 )
 QUERIES = {f.__name__: f for f in _ALL}

@@ -3,7 +3,10 @@ import re
 import unicodedata
 from datetime import datetime
 
-from kgraph.plans import curriculum
+from kgraph import schema as S
+from kgraph.operators import serve
+from kgraph.operators.graph import Graph
+from kgraph.plans import catalogue, curriculum
 
 AT = datetime(2026, 1, 1)
 
@@ -31,3 +34,25 @@ def test_duplicate_names_of_drafts(spark, tmp_path):
     keys = sorted(set(fold.values()) - {""})
     want = {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if share(a, b) >= 0.85}
     assert {(r["a"], r["b"]) for r in curriculum.similar_draft_names(spark, d).collect()} == want and want
+
+
+def test_whole_retrieval(spark, tmp_path):
+    blank = {f.name: None for f in S.TOPIC}
+    m = lambda *x: dict(zip(("statement", "probe", "correction_hint"), x, strict=True))
+    rows = [
+        blank | {"id": "t1", "name": "甲乙丙丁", "description": "条形统计图的估测方法", "misconceptions": [m("分数越大越好", None, "条形图的比较"), m("小数乘法", "看图例", "查一查溶解")]},
+        blank | {"id": "t2", "name": "溶解的检验", "description": "x", "misconceptions": [m("查一查溶解的糖", "分数", None)]},
+        blank | {"id": "t3", "name": "戊己庚辛", "description": None, "misconceptions": None},
+    ]
+    written(spark, tmp_path, "topics", [tuple(r[f.name] for f in S.TOPIC) + (AT,) for r in rows], S.T.StructType([*S.TOPIC.fields, S.T.StructField("ingested_at", S.T.TimestampType())]))
+    d = written(spark, tmp_path, "registry_entries", [("e1", "溶解的检验", ["回头查一查溶解", "分数大"])], "id string, name string, aliases array<string>")
+    got = {}
+    for r in curriculum.observation_top5(spark, d).orderBy("rank").collect():
+        got.setdefault(r["case_id"], []).append((r["id"], r["position"], r["score"]))
+    g = Graph(curriculum.topics(spark, d), None, None)
+    for text in ("回头查一查溶解", "分数大"):
+        assert got[text] == [(r["id"], r["position"], round(r["score"], 6)) for r in serve.match_misconceptions(g, text).collect()]
+    assert catalogue.FLAGSHIP == "observation_top5"
+    assert {r["id"] for r in curriculum.search_fraction_texts(spark, d).collect()} == {"t1"}
+    f = {round(r["threshold"], 2): r for r in curriculum.retrieval_frontier_all(spark, d).collect()}
+    assert {(r["cases"], r["empty_cases"]) for r in f.values()} == {(2, 2)} and f[0.95]["empty_accuracy"] == 1.0
