@@ -206,21 +206,24 @@ class Matcher:
                 out.append((min(sim, 0.99), t, ""))
         return sorted(out, key=lambda x: (-x[0], x[1]))
 
-    def nearest(self, rest: str) -> list[tuple[float, str, int]]:
-        """(similarity, content, characters of the rest that it hasn't), best first: weighted sets of characters and pairs."""
+    def nearest(self, rest: str, spare: int) -> list[tuple[float, str]]:
+        """(similarity, content), best first: weighted sets of characters and pairs; only those of the least similarity with at
+        most `spare` characters of the rest strange to them, one more for a long content."""
         have = Counter(rest)
         cands = set().union(*(self.by_char.get(c, ()) for c in have)) if have else ()
         total = self.weight(have)
-        scores: dict[str, tuple[float, int]] = {}
+        scores: dict[str, float] = {}
         for x in cands:
+            h = self.content[x]
+            if len(have.keys() - self.content_sets[x].keys()) > spare + (len(h) > 4):
+                continue
             both = self.weight(have & self.content_sets[x])
             sim = 2 * both / (total + self.weight(self.content_sets[x]))
             pairs = sum(x[i : i + 2] in rest for i in range(len(x) - 1))
             sim += 0.05 * pairs / max(1, len(x) - 1)
-            h = self.content[x]
-            if sim > scores.get(h, (0, 0))[0]:
-                scores[h] = (sim, len(have.keys() - self.content_sets[x].keys()))
-        return sorted(((s, h, n) for h, (s, n) in scores.items()), key=lambda x: (-x[0], x[1]))
+            if sim >= self.least and sim > scores.get(h, 0):
+                scores[h] = sim
+        return sorted(((s, h) for h, s in scores.items()), key=lambda x: (-x[0], x[1]))
 
     def match(self, key: str) -> tuple[str | None, str, float]:
         if not key:
@@ -250,19 +253,17 @@ class Matcher:
                     how = "mention" if ways[0][0] >= 1 else "similar"
                     return self.entry.get((self.content[x], ways[0][1])), how, min(1.0, ways[0][0])
         best = None
-        ways = [w for w in self.aspects(key)[:6] if w[0] >= self.least]
+        ways = [w for w in self.aspects(key) if w[0] >= self.least]
         if not ways:
             at = max((key.rfind(c) for c in joints), default=-1)
-            ways = [(sim, t, key[:at]) for sim, t, _ in self.short(key[at + 1 :])[:3]] if at > 0 else []
+            ways = [(sim, t, key[:at]) for sim, t, _ in self.short(key[at + 1 :])] if at > 0 else []
         for sim, t, left in ways:
             left = re.sub(f"[\0{joints}]", "", left)
-            for csim, h, strange in self.nearest(left)[:3]:
-                if strange > 1 + (sim < 1) + (len(h) > 4):
-                    continue
+            for csim, h in self.nearest(left, 1 + (sim < 1)):
                 score = min(1.0, sim) + csim
                 real = (h, t) in self.entry
                 cand = (round(score, 6), real, h, t, csim)
-                if csim >= self.least and (best is None or cand[:2] > best[:2]):
+                if best is None or cand[:2] > best[:2]:
                     best = cand
         if best is None:
             return None, "unmatched", 0.0
