@@ -13,15 +13,17 @@ import unicodedata
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Characters of other scripts and of other code blocks with the shape of a Latin letter or an ideograph.
-GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνοϲϳ", "ABEZHIKMNOPTYXvocj")
-CYRILLIC = ("АВЕКМНОРСТХЅІЈУԌԜԚаеорсухѕіјԁԛԝһ", "ABEKMHOPCTXSIJYGWQaeopcyxsijdqwh")
-KATAKANA = ("タカロニハエト", "夕力口二八工卜")
-RADICALS = ("⺎⺒⺓⺖⺘⺝⺟⺠⺡⺣⺨⺩⺫⺭⺮⺰⻄⻅⻉⻋⻌⻍⻎⻏⻑⻒⻓⻔⻘⻙⻚⻛⻜⻝⻢⻤⻥⻦⻨⻩⻬⻮⻰⻱⻳", "兀巳幺忄扌月母民氵灬犭王目礻竹纟西见贝车辶辶辶阝長镸长门青韦页风飞食马鬼鱼鸟麦黄齐齿龙龟龟")
+from kgraph.operators.skew import LEAST_HOT, hot_join
+from kgraph.session import cut
+
+# Same-shaped characters that Unicode's confusables lack or give another prototype.
+OTHER_SHAPES = ("ІԚɑɡ⺝⺩⺫⺮⺰⻎⻦⻱", "IQag月王目竹纟辶鸟龟")
+#: Blocks of parts of ideographs, whose prototypes are ideographs.
+RADICAL_BLOCKS = ((0x2E80, 0x2FDF),)
 #: Compatibility forms are taken over only of these kinds: other kinds (super, sub, circle, fraction, square) can be seen.
 KINDS = ("<wide>", "<narrow>", "<noBreak>", "<font>", "<isolated>", "<initial>", "<medial>", "<final>")
 #: Of the general kind <compat>, only these blocks keep their look: radicals, ligatures, Roman numerals, the micro sign.
@@ -32,11 +34,38 @@ INVISIBLE = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u3164\uffa0\ufe00-
 
 
 @cache
-def tables() -> tuple[dict[str, str], dict[str, str]]:
+def same_shapes(spark: SparkSession) -> dict[str, str]:
+    """Characters of other scripts and code blocks with the character of the same shape, by Unicode's confusables (the data of
+    the ICU library that Spark brings, read in one call).
+
+    Taken over are letters outside the Latin script whose prototype is an unaccented Latin letter, and syllables or radicals whose
+    prototype is an ideograph. Prototypes among letters of one script, among ideographs, and of digits and signs
+    aren't: these can be told apart. The prototype of a capital I is a small l, so capitals go back to I.
+    """
+    kinds = spark._jvm.com.ibm.icu.text.SpoofChecker
+    checker = kinds.Builder().setChecks(kinds.CONFUSABLE).build()
+    latin, parts = [], []
+    for code in [*range(0x370, 0xD800), *range(0x10000, 0x1F000)]:
+        ch = chr(code)
+        name = unicodedata.name(ch, "")
+        if any(a <= code <= b for a, b in RADICAL_BLOCKS) or name.startswith(("KATAKANA LETTER", "BOPOMOFO LETTER")):
+            parts.append(ch)
+        elif unicodedata.category(ch) in ("Lu", "Ll", "Lo") and not name.startswith(("LATIN", "CJK", "HANGUL", "YI SYLLABLE")):
+            latin.append(ch)
+    forms = checker.getSkeleton("\n".join(latin + parts)).split("\n")
+    out = {}
+    for i, (ch, to) in enumerate(zip(latin + parts, forms, strict=True)):
+        if i < len(latin):
+            if len(to) == 1 and to.isascii() and to.isalpha():
+                out[ch] = "I" if to == "l" and unicodedata.category(ch) == "Lu" else to
+        elif len(to) == 1 and unicodedata.name(to, "").startswith("CJK UNIFIED"):
+            out[ch] = to
+    return out | dict(zip(*OTHER_SHAPES, strict=True))
+
+
+def tables(shapes: dict[str, str]) -> tuple[dict[str, str], dict[str, str]]:
     """Characters with their one-character forms, and those with longer forms; from Unicode's data by the rules above."""
-    base = {b: " " for b in BLANKS}
-    for these, those in (GREEK, CYRILLIC, KATAKANA, RADICALS):
-        base.update(zip(these, those, strict=True))
+    base = {b: " " for b in BLANKS} | shapes
     skip = set(range(0xD800, 0xE000))
     for code in range(0xA0, 0x1F000):
         if code in skip:
@@ -65,9 +94,9 @@ def _quoted(s: str) -> str:
 RANGES = (("\t", "\r"), ("\x80", "\u024f"), ("\u0250", "\u0fff"), ("\u1000", "\u1fff"), ("\u2000", "\u2fff"), ("\u3000", "\u31ff"), ("\u3200", "\ufaff"), ("\ufb00", "\ufeff"), ("\uff00", "\uffff"), ("\U00010000", "\U0010ffff"))
 
 
-def expression(column: str) -> str:
+def expression(column: str, shapes: dict[str, str]) -> str:
     """The DuckDB expression of the comparison form."""
-    one, longer = tables()
+    one, longer = tables(shapes)
     e = f"nfc_normalize(CASE WHEN regexp_matches({column}, '[\\p{{Cf}}{INVISIBLE}]') THEN regexp_replace({column}, '[\\p{{Cf}}{INVISIBLE}]', '', 'g') ELSE {column} END)"
     step = lambda e, test, to: f"list_transform([{e}], lambda x: CASE WHEN regexp_matches(x, {_quoted('[' + test + ']')}) THEN {to} ELSE x END)[1]"
     for low, high in RANGES:
@@ -90,12 +119,12 @@ def unify(df: DataFrame, text_col: str, out: str) -> DataFrame:
     df = df.drop(out) if out in df.columns and out != text_col else df
     names = df.columns
     at = names.index(text_col)
+    sql = f"SELECT {expression('t', same_shapes(df.sparkSession))} AS u FROM texts ORDER BY k"
 
     def run(batches):
         import duckdb
 
         con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
-        sql = f"SELECT {expression('t')} AS u FROM texts ORDER BY k"
         for b in batches:
             con.register("texts", pa.table({"k": pa.array(range(b.num_rows), pa.int64()), "t": b.column(at).cast(pa.string())}))
             got = con.sql(sql).to_arrow_table().column(0).combine_chunks().cast(pa.string())
@@ -107,19 +136,30 @@ def unify(df: DataFrame, text_col: str, out: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def same_looks(texts: DataFrame, hot: int = 1000) -> DataFrame:
+def same_looks(texts: DataFrame, chunk: int = 500) -> DataFrame:
     """(field, key_a, key_b): pairs of different keys with texts that look the same but are stored differently.
 
     texts has field, key, text. Each pair once, key_a < key_b; null keys and null texts take no part; a key with several
-    texts pairs if any two of them do. Only distinct (field, key, text) are compared, equal texts never pair, so
-    a name used by a third of the rows meets only the rows that spell it differently. Classes with one spelling leave
-    before the join. The rows of a class are spread over salts on one side and repeated on the other for classes of more than
-    `hot` rows, so no task holds a hot class whole.
+    texts pairs if any two of them do. Other columns are ignored.
+
+    Spellings are paired, not rows: each distinct (field, text) is unified once, and within a class of one look every two
+    different spellings make a pair. Every such pair stands for at least one pair of rows (unless one key holds both), so nothing is
+    compared in vain: the rows of one spelling, a third of all say, never meet each other. The keys of a spelling are
+    held in chunks of about `chunk`, chosen by hash; a pair of spellings becomes a row for every two of their chunks,
+    spread evenly before they are expanded, so a task holds a few products of two chunks, however many rows a spelling or a class has.
     """
     d = texts.select("field", "key", "text").where("key IS NOT NULL AND text IS NOT NULL").distinct()
-    d = unify(d, "text", "looks")
-    many = d.groupBy("field", "looks").agg(F.count("*").alias("n"), F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo < hi").select("field", "looks", F.greatest(F.lit(1), F.ceil(F.col("n") / hot)).cast("int").alias("salts"))
-    d = d.join(many, ["field", "looks"])
-    a = d.select("field", "looks", F.col("key").alias("a"), F.col("text").alias("ta"), F.pmod(F.xxhash64("key", "text"), F.col("salts")).cast("int").alias("salt"))
-    b = d.select("field", "looks", F.col("key").alias("b"), F.col("text").alias("tb"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    return a.join(b, ["field", "looks", "salt"]).where("a < b AND ta <> tb").select("field", F.col("a").alias("key_a"), F.col("b").alias("key_b")).distinct()
+    spelled = cut(unify(d.groupBy("field", "text").agg(F.count("*").alias("n")), "text", "looks"))
+    # classes of one spelling leave; the spellings of a class are salted on one side and repeated on the other
+    many = spelled.groupBy("field", "looks").agg(F.count("*").alias("v")).where("v > 1").select("field", "looks", F.ceil(F.col("v") / chunk).cast("int").alias("salts"))
+    s = spelled.join(many, ["field", "looks"]).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
+    a = s.select("field", "looks", F.col("text").alias("ta"), F.col("chunks").alias("ca"), F.pmod(F.xxhash64("text"), F.col("salts")).cast("int").alias("salt"))
+    b = s.select("field", "looks", F.col("text").alias("tb"), F.col("chunks").alias("cb"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    pairs = a.join(b, ["field", "looks", "salt"]).where("ta < tb")
+    cells = pairs.select("field", "ta", "tb", F.explode(F.sequence(F.lit(0), F.col("ca") - 1)).alias("ka"), "cb").select("field", "ta", "tb", "ka", F.explode(F.sequence(F.lit(0), F.col("cb") - 1)).alias("kb"))
+    hot = s.where(F.col("n") > LEAST_HOT).orderBy(F.desc("n")).limit(1000).select("field", "text").collect()
+    held = hot_join(d, s.select("field", "text", "chunks"), ["field", "text"], hot=hot).groupBy("field", "text", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int").alias("k")).agg(F.collect_list("key").alias("keys"))
+    x = cells.join(held.toDF("field", "ta", "ka", "keys_a"), ["field", "ta", "ka"]).join(held.toDF("field", "tb", "kb", "keys_b"), ["field", "tb", "kb"])
+    x = x.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ta", "tb", "ka", "kb")
+    x = x.select("field", F.explode("keys_a").alias("a"), "keys_b").select("field", "a", F.explode("keys_b").alias("b")).where("a <> b")
+    return x.select("field", F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b")).distinct()

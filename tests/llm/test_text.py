@@ -1,7 +1,9 @@
 import base64
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from kgraph.llm import looks, pieces, tokens
 from kgraph.llm.bpe import BYTE_BPE_50K, Decoder, Transducer, loaded
@@ -47,8 +49,8 @@ def test_encode_table(spark, encoding):
     assert tokens.encode(d.limit(0)).collect() == []
 
 
-SAME = [("ＡＢ １", "AB 1"), ("café", "café"), ("a​b", "ab"), ("x y", "x y"), (" z　", "z"), ("АВ", "AB"), ("ο", "o"), ("⼝算", "口算"), ("タ阳", "夕阳"), ("力", "力"), ("ﬁn", "fin"), ("ё", "ë"), ("ｶﾞ", "ガ")]
-OTHER = [("A", "a"), ("café", "cafe"), ("m²", "m2"), ("①", "1"), ("½", "1/2"), ("點", "点"), ("a b", "ab"), ("lǜ", "lü")]
+SAME = [("α", "a"), ("ρυ", "pu"), ("ՍՏ", "US"), ("Ꭺ", "A"), ("Ӏ", "I"), ("ɡ", "g"), ("ハ", "八"), ("ＡＢ １", "AB 1"), ("café", "café"), ("a​b", "ab"), ("x y", "x y"), (" z　", "z"), ("АВ", "AB"), ("ο", "o"), ("⼝算", "口算"), ("タ阳", "夕阳"), ("力", "力"), ("ﬁn", "fin"), ("ё", "ë"), ("ｶﾞ", "ガ")]
+OTHER = [("士", "土"), ("0", "O"), ("1", "l"), ("A", "a"), ("café", "cafe"), ("m²", "m2"), ("①", "1"), ("½", "1/2"), ("點", "点"), ("a b", "ab"), ("lǜ", "lü")]
 
 
 def test_looks(spark):
@@ -62,7 +64,7 @@ def test_looks(spark):
 def test_same_looks(spark):
     rows = [("f", f"k{i:02d}", "题") for i in range(30)] + [("f", "v1", "题 "), ("f", "v2", "​题"), ("f", "v2", "​题"), ("f", None, "题"), ("f", "w", None), ("g", "k01", "题 "), ("f", "k00", "题 ")]
     d = spark.createDataFrame(rows, "field string, key string, text string").withColumnRenamed("field", "field")
-    got = [tuple(r) for r in looks.same_looks(d, hot=5).collect()]
+    got = [tuple(r) for r in looks.same_looks(d, chunk=5).collect()]
     texts = {}
     for f, k, t in rows:
         if k and t:
@@ -72,6 +74,16 @@ def test_same_looks(spark):
     assert looks.same_looks(d.limit(0)).collect() == []
 
 
+def test_same_looks_of_one_hot_spelling(spark):
+    """100,000 rows of one spelling and ten others: each of the ten pairs with all, the rows of the one never with each other."""
+    hot = spark.range(100_000).selectExpr("'f' AS field", "concat('h', id) AS key", "'题目' AS text")
+    few = spark.range(10).selectExpr("'f' AS field", "concat('r', id) AS key", "concat('题', repeat('\u200b', int(id) + 1), '目') AS text")
+    began = time.time()
+    got = looks.same_looks(hot.unionByName(few)).groupBy(F.substring("key_a", 1, 1).alias("a"), F.substring("key_b", 1, 1).alias("b")).count().collect()
+    assert {(r["a"], r["b"]): r["count"] for r in got} == {("h", "r"): 1_000_000, ("r", "r"): 45}
+    assert time.time() - began < 60
+
+
 def test_pieces():
     machine = loaded()
     rng = random.Random(1)
