@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from kgraph.llm import consensus, groups, mixture, reference_list
 
@@ -104,3 +105,17 @@ def test_mixture(spark):
     share = {r["source"]: r["actual_share"] for r in report.collect()}
     assert abs(share["a_x"] - 1 / 3) < 0.005 and abs(share["b"] - 2 / 3) < 0.005 and share["gone"] == 0 == share["nil"]
     assert mixture.plan(d, t.limit(0))[0].collect() == [] and mixture.plan(d.limit(0), t)[0].collect() == []
+
+
+def test_mixture_with_long_documents(spark):
+    """A few texts of many times the usual length, one of half its source's tokens: the shares still come out."""
+    rng = random.Random(2)
+    rows = [(i, "水" * (5 + i % 40), "abc"[i % 3]) for i in range(1500)] + [(2000 + i, "水" * rng.randint(500, 2500), "abc"[i % 3]) for i in range(9)] + [(3000, "水" * 9000, "b")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    t = spark.createDataFrame([("a", 0.31, 1), ("b", 0.5, 3), ("c", 0.19, 2)], "source string, target_share double, max_repeats int")
+    for seed in (1, 2, 3):
+        copies, report = mixture.plan(d, t, seed=seed)
+        assert all(abs(r["actual_share"] - r["target_share"]) < 0.003 for r in report.collect())
+        assert all(1 <= r["copies"] <= {"a": 1, "b": 3, "c": 2}[r["source"]] for r in copies.collect())
+    with pytest.raises(ValueError):
+        mixture.plan(d, t, most_targets=2)
