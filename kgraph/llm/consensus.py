@@ -24,9 +24,8 @@ from kgraph.session import cut, small_or_plain
 
 #: Levels of ease.
 EASE = (0.3, 0.7, 1.0, 1.5)
-#: Most labels of an aspect.
-LABELS = 3
-CELLS = LABELS * len(EASE)
+#: Iterations end once the mean log evidence of an item grows by less than this, or after ROUNDS.
+GAIN, ROUNDS = 5e-4, 60
 
 
 def spelled(c: Column, joint: str = "_") -> Column:
@@ -80,14 +79,19 @@ def _fit(counts: np.ndarray, steps: int = 60, prior: float = 0.08, diagonal: flo
     return a - a.mean(-1, keepdims=True)
 
 
-def _by_code(lp: np.ndarray) -> np.ndarray:
+def _cells(labels: int) -> list[str]:
+    """Names of the cells of a table over labels and levels."""
+    return [f"s{i}" for i in range(labels * len(EASE))]
+
+
+def _by_code(lp: np.ndarray, labels: int) -> np.ndarray:
     """[..., code + 2, label * level] of log probabilities [..., label, level, vote]; -1 is the last vote, -2 any other."""
     n = lp.shape[-1]
-    out = np.zeros((*lp.shape[:-3], n + 2, LABELS, len(EASE)))
+    out = np.zeros((*lp.shape[:-3], n + 2, labels, len(EASE)))
     out[..., 0, :n, :] = np.log(np.exp(lp[..., : n - 1]).sum(-1))
     out[..., 1, :n, :] = lp[..., n - 1]
     out[..., 2:, :n, :] = np.moveaxis(lp, -1, -3)
-    return out.reshape(*out.shape[:-2], CELLS)
+    return out.reshape(*out.shape[:-2], labels * len(EASE))
 
 
 def _ability(counts: np.ndarray, lp: np.ndarray) -> np.ndarray:
@@ -98,22 +102,21 @@ def _ability(counts: np.ndarray, lp: np.ndarray) -> np.ndarray:
     return (weight * right).sum(-1) / weight.sum(-1)
 
 
-_COLS = [f"s{i}" for i in range(CELLS)]
-
-
 def _annotators(sizes: dict[str, int]):
     """applyInPandas: expected counts of one (aspect, reviewer) -> log probabilities a code, and the reliability."""
+    labels = max(sizes.values())
+    cols = _cells(labels)
 
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         aspect, reviewer = key
         n = sizes[aspect]
         counts = np.zeros((n, len(EASE), n))
         for row in g.itertuples(index=False):
             if row.code >= 0:
-                counts[:, :, int(row.code)] += np.asarray([getattr(row, c) for c in _COLS]).reshape(LABELS, len(EASE))[:n]
+                counts[:, :, int(row.code)] += np.asarray([getattr(row, c) for c in cols]).reshape(labels, len(EASE))[:n]
         lp = _log_probabilities(_fit(counts))
         ability, chance = float(_ability(counts, lp)), 1.0 / n
-        cells = _by_code(lp)
+        cells = _by_code(lp, labels)
         out = [[aspect, reviewer, code, cells[code + 2].tolist(), ability, (ability - chance) / (1 - chance), float(counts.sum())] for code in range(-2, n)]
         return pd.DataFrame(out, columns=["aspect", "reviewer", "code", "lp", "ability", "skill", "votes"])
 
@@ -124,20 +127,34 @@ _ANNOTATOR_SCHEMA = "aspect string, reviewer string, code int, lp array<double>,
 
 
 def _posterior(sums: DataFrame, prior: DataFrame, sizes: dict[str, int]) -> DataFrame:
-    """Item sums s0.. -> normalised posterior q0.. ; labels that an aspect lacks have none."""
+    """Item sums s0.. -> normalised posterior q0.. and log evidence; labels that an aspect lacks have none."""
+    cells = len(_cells(max(sizes.values())))
     n = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])[F.col("aspect")]
     d = sums.join(prior, "aspect")
-    z = [F.when(F.lit(i // len(EASE)) < n, F.col(f"s{i}") + F.col("lw")[i]).otherwise(F.lit(-1e9)) for i in range(CELLS)]
-    d = d.select("target", "aspect", *[x.alias(f"z{i}") for i, x in enumerate(z)]).withColumn("top", F.greatest(*[F.col(f"z{i}") for i in range(CELLS)]))
-    d = d.select("target", "aspect", *[F.exp(F.col(f"z{i}") - F.col("top")).alias(f"z{i}") for i in range(CELLS)]).withColumn("sum", sum(F.col(f"z{i}") for i in range(CELLS)))
-    return d.select("target", "aspect", *[(F.col(f"z{i}") / F.col("sum")).alias(f"q{i}") for i in range(CELLS)])
+    z = [F.when(F.lit(i // len(EASE)) < n, F.col(f"s{i}") + F.col("lw")[i]).otherwise(F.lit(-1e9)) for i in range(cells)]
+    d = d.select("target", "aspect", *[x.alias(f"z{i}") for i, x in enumerate(z)]).withColumn("top", F.greatest(*[F.col(f"z{i}") for i in range(cells)]))
+    d = d.select("target", "aspect", "top", *[F.exp(F.col(f"z{i}") - F.col("top")).alias(f"z{i}") for i in range(cells)]).withColumn("sum", sum(F.col(f"z{i}") for i in range(cells)))
+    return d.select("target", "aspect", (F.col("top") + F.log("sum")).alias("evidence"), *[(F.col(f"z{i}") / F.col("sum")).alias(f"q{i}") for i in range(cells)])
+
 
+class _Settled:
+    """Tells when the mean log evidence of an item has stopped growing; the first posterior has none."""
 
-def fit(votes: DataFrame, sizes: dict[str, int], rounds: int = 14, most: int = 20_000) -> tuple[DataFrame, DataFrame]:
-    """(items with posteriors q0.., annotators) after `rounds` iterations, from majority shares as the first posterior.
+    def __init__(self):
+        self.last = None
 
-    Up to `most` annotators (of an aspect), their tables go to the workers and an iteration is one pass over the items with one
-    small sum; an item then has at most `most` votes. Beyond it the same iteration runs as joins. Both give the same.
+    def __call__(self, evidence: float | None) -> bool:
+        done = evidence is not None and self.last is not None and evidence - self.last < GAIN
+        self.last = evidence
+        return done
+
+
+def fit(votes: DataFrame, sizes: dict[str, int], rounds: int = ROUNDS, most: int = 20_000) -> tuple[DataFrame, DataFrame]:
+    """(items with posteriors q0.., annotators) once the evidence has settled (GAIN), from majority shares as the first posterior.
+
+    sizes gives the number of labels of every aspect, any number from two. The iteration is one; how its sums are taken follows from what fits
+    the workers' memory: up to `most` annotators (of an aspect), their tables go to the workers and an iteration is one pass over the items with one
+    small sum (an item then has at most `most` votes); beyond it the sums are joins. The results are equal to rounding.
     """
     people = [tuple(r) for r in votes.select("aspect", "reviewer").distinct().limit(most + 1).collect()]
     return _fit_by_tables(votes, sizes, rounds, sorted(people)) if len(people) <= most else _fit_by_joins(votes, sizes, rounds)
@@ -151,73 +168,86 @@ def _fit_by_tables(votes: DataFrame, sizes: dict[str, int], rounds: int, people:
     at = F.create_map(*[F.lit(x) for k, a in enumerate(names) for x in (a, k)])[F.col("aspect")]
     items = cut(d.select("target", "aspect", at.alias("k"), F.col("v.p").alias("p"), F.col("v.code").alias("code")))
     n_of = np.array([sizes[a] for a in names])
-    cells = len(EASE)
-    shape = (len(people), LABELS, LABELS, cells)  # person, vote, label, level
+    cells, labels = len(EASE), max(sizes.values())
+    cols = _cells(labels)
+    shape = (len(people), labels, labels, cells)  # person, vote, label, level
 
     def posterior(batch, table, prior):
-        """[items, cells], with the items' votes as flat arrays (item, person, code)."""
+        """[items, cells], with the items' votes as flat arrays (item, person, code) and the sum of log evidence."""
         k = batch.column(2).to_numpy()
         sizes_ = batch.column(3).value_lengths().to_numpy()
         p, code = batch.column(3).flatten().to_numpy(), batch.column(4).flatten().to_numpy()
         item = np.repeat(np.arange(len(k)), sizes_)
         n = n_of[k]
-        absent = np.arange(LABELS)[None, :] >= n[:, None]
+        absent = np.arange(labels)[None, :] >= n[:, None]
+        evidence = 0.0
         if table is None:
-            c = np.full((len(k), LABELS), 0.01)
+            c = np.full((len(k), labels), 0.01)
             np.add.at(c, (item[code >= 0], code[code >= 0]), 1.0)
             no, yes = item[code == -1], item[code == -2]
             np.add.at(c, (no, n[no] - 1), 1.0)
-            for i in range(LABELS - 1):
-                np.add.at(c, (yes, i), 1.0 / (LABELS - 1))
+            for i in range(labels - 1):
+                to = yes[i < n[yes] - 1]
+                np.add.at(c, (to, i), 1.0 / (n[to] - 1))
             c[absent] = 0.0
             q = np.repeat(c / c.sum(1, keepdims=True) / cells, cells, axis=1)
         else:
             z = prior[k]
             np.add.at(z, item, table[p, code + 2])
             z[np.repeat(absent, cells, axis=1)] = -1e9
-            z = np.exp(z - z.max(1, keepdims=True))
-            q = z / z.sum(1, keepdims=True)
-        return k, item, p, code, q
+            top = z.max(1, keepdims=True)
+            z = np.exp(z - top)
+            total = z.sum(1, keepdims=True)
+            evidence = float((top + np.log(total)).sum())
+            q = z / total
+        return k, item, p, code, q, evidence
 
     def expect(table, prior):
         def run(batches):
-            counts, shares, seen = np.zeros((shape[0] * LABELS, CELLS)), np.zeros((len(names), CELLS)), np.zeros(len(names))
+            counts, shares, seen, evidence = np.zeros((shape[0] * labels, len(cols))), np.zeros((len(names), len(cols))), np.zeros(len(names)), 0.0
             for b in batches:
-                k, item, p, code, q = posterior(b, table and table.value, prior)
+                k, item, p, code, q, more = posterior(b, table and table.value, prior)
+                evidence += more
                 ok = code >= 0
-                np.add.at(counts, p[ok] * LABELS + code[ok], q[item[ok]])
+                np.add.at(counts, p[ok] * labels + code[ok], q[item[ok]])
                 np.add.at(shares, k, q)
                 np.add.at(seen, k, 1)
             hit = np.flatnonzero(counts.any(1))
-            rows = [(int(i), *counts[i]) for i in hit] + [(-1 - i, *(shares[i])) for i in range(len(names)) if seen[i]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64() if j == 0 else pa.float64()) for j in range(CELLS + 1)], ["id", *_COLS])
+            rows = [(int(i), *counts[i]) for i in hit] + [(-2 - i, *(shares[i])) for i in range(len(names)) if seen[i]]
+            rows.append((-1, evidence, *[0.0] * (len(cols) - 1)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64() if j == 0 else pa.float64()) for j in range(len(cols) + 1)], ["id", *cols])
 
-        return items.mapInArrow(run, "id long, " + ", ".join(f"{c} double" for c in _COLS)).groupBy("id").agg(*[F.sum(c).alias(c) for c in _COLS])
+        return items.mapInArrow(run, "id long, " + ", ".join(f"{c} double" for c in cols)).groupBy("id").agg(*[F.sum(c).alias(c) for c in cols])
 
-    table, prior, stats = None, np.zeros((len(names), CELLS)), None
+    table, prior, stats, settled = None, np.zeros((len(names), len(cols))), None, _Settled()
     for _ in range(rounds):
-        counts, shares = np.zeros((shape[0] * LABELS, CELLS)), np.zeros((len(names), CELLS))
+        counts, shares, evidence = np.zeros((shape[0] * labels, len(cols))), np.zeros((len(names), len(cols))), 0.0
         for r in expect(table, prior).collect():
-            (counts if r[0] >= 0 else shares)[r[0] if r[0] >= 0 else -1 - r[0]] = r[1:]
+            if r[0] == -1:
+                evidence = r[1]
+            else:
+                (counts if r[0] >= 0 else shares)[r[0] if r[0] >= 0 else -2 - r[0]] = r[1:]
+        if settled(evidence / max(1.0, shares.sum()) if table else None):
+            break
         prior = np.log(shares / np.maximum(shares.sum(1, keepdims=True), 1e-9) + 1e-6)
         counts = counts.reshape(shape)
-        codes, stats = np.zeros((shape[0], LABELS + 2, CELLS)), np.zeros((shape[0], 3))
+        codes, stats = np.zeros((shape[0], labels + 2, len(cols))), np.zeros((shape[0], 3))
         for a in names:
             mine, n = [i for i, (x, _) in enumerate(people) if x == a], sizes[a]
             if mine:
                 c = np.moveaxis(counts[mine][:, :n, :n, :], 1, -1)
                 lp = _log_probabilities(_fit(c))
-                codes[mine, : n + 2] = _by_code(lp)
+                codes[mine, : n + 2] = _by_code(lp, labels)
                 right = _ability(c, lp)
                 stats[mine] = np.stack([right, (right - 1 / n) / (1 - 1 / n), c.sum((1, 2, 3))], 1)
         table = spark.sparkContext.broadcast(codes)
 
     def final(batches):
         for b in batches:
-            _, _, _, _, q = posterior(b, table and table.value, prior)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(q[:, i]) for i in range(CELLS)]], ["target", "aspect", *[f"q{i}" for i in range(CELLS)]])
+            _, _, _, _, q, _ = posterior(b, table and table.value, prior)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(q[:, i]) for i in range(len(cols))]], ["target", "aspect", *[f"q{i}" for i in range(len(cols))]])
 
-    q = items.mapInArrow(final, "target string, aspect string, " + ", ".join(f"q{i} double" for i in range(CELLS)))
+    q = items.mapInArrow(final, "target string, aspect string, " + ", ".join(f"q{i} double" for i in range(len(cols))))
     out = [(a, r, 0, *map(float, stats[i])) for i, (a, r) in enumerate(people)] if stats is not None else []
     return q, spark.createDataFrame(out, "aspect string, reviewer string, code int, ability double, skill double, votes double")
 
@@ -225,29 +255,32 @@ def _fit_by_tables(votes: DataFrame, sizes: dict[str, int], rounds: int, people:
 def _fit_by_joins(votes: DataFrame, sizes: dict[str, int], rounds: int) -> tuple[DataFrame, DataFrame]:
     votes = cut(votes.repartition("target", "aspect"))
     n = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])[F.col("aspect")]
-    cells = len(EASE)
-    got = [F.sum(F.when(F.col("code") == k, 1.0).when((F.col("code") == -1) & (n - 1 == k), 1.0).when((F.col("code") == -2) & (F.lit(k) < n - 1), 1.0 / (LABELS - 1)).otherwise(0.0)) for k in range(LABELS)]
+    levels, labels = len(EASE), max(sizes.values())
+    cols = _cells(labels)
+    got = [F.sum(F.when(F.col("code") == k, 1.0).when((F.col("code") == -1) & (n - 1 == k), 1.0).when((F.col("code") == -2) & (F.lit(k) < n - 1), 1.0 / (n - 1)).otherwise(0.0)) for k in range(labels)]
     items = votes.groupBy("target", "aspect").agg(*[x.alias(f"c{k}") for k, x in enumerate(got)])
-    total = sum(F.when(F.lit(k) < n, F.col(f"c{k}") + 0.01).otherwise(0.0) for k in range(LABELS))
-    q = items.select("target", "aspect", *[(F.when(F.lit(i // cells) < n, F.col(f"c{i // cells}") + 0.01).otherwise(0.0) / total / cells).alias(f"q{i}") for i in range(CELLS)])
-    people = None
-    for turn in range(rounds):
+    total = sum(F.when(F.lit(k) < n, F.col(f"c{k}") + 0.01).otherwise(0.0) for k in range(labels))
+    q = items.select("target", "aspect", F.lit(None).cast("double").alias("evidence"), *[(F.when(F.lit(i // levels) < n, F.col(f"c{i // levels}") + 0.01).otherwise(0.0) / total / levels).alias(f"q{i}") for i in range(len(cols))])
+    people, settled = None, _Settled()
+    for _ in range(rounds):
         q = cut(q)
-        prior = q.groupBy("aspect").agg(F.array(*[F.log(F.avg(f"q{i}") + 1e-6) for i in range(CELLS)]).alias("lw"))
-        counts = votes.where("code >= 0").join(q, ["target", "aspect"]).groupBy("aspect", "reviewer", "code").agg(*[F.sum(f"q{i}").alias(f"s{i}") for i in range(CELLS)])
-        silent = votes.select("aspect", "reviewer").distinct().select("aspect", "reviewer", F.lit(-1).alias("code"), *[F.lit(0.0).alias(c) for c in _COLS])
+        if settled(q.agg(F.avg("evidence")).first()[0]):
+            break
+        prior = q.groupBy("aspect").agg(F.array(*[F.log(F.avg(f"q{i}") + 1e-6) for i in range(len(cols))]).alias("lw"))
+        counts = votes.where("code >= 0").join(q, ["target", "aspect"]).groupBy("aspect", "reviewer", "code").agg(*[F.sum(f"q{i}").alias(f"s{i}") for i in range(len(cols))])
+        silent = votes.select("aspect", "reviewer").distinct().select("aspect", "reviewer", F.lit(-1).alias("code"), *[F.lit(0.0).alias(c) for c in cols])
         people = cut(counts.unionByName(silent).groupBy("aspect", "reviewer").applyInPandas(_annotators(sizes), _ANNOTATOR_SCHEMA))
-        lp = small_or_plain(people.select("aspect", "reviewer", "code", "lp"), 8 * CELLS + 64)
-        sums = votes.join(lp, ["aspect", "reviewer", "code"], "left").groupBy("target", "aspect").agg(*[F.sum(F.coalesce(F.col("lp")[i], F.lit(0.0))).alias(f"s{i}") for i in range(CELLS)])
+        lp = small_or_plain(people.select("aspect", "reviewer", "code", "lp"), 8 * len(cols) + 64)
+        sums = votes.join(lp, ["aspect", "reviewer", "code"], "left").groupBy("target", "aspect").agg(*[F.sum(F.coalesce(F.col("lp")[i], F.lit(0.0))).alias(f"s{i}") for i in range(len(cols))])
         q = _posterior(sums, F.broadcast(prior), sizes)
-    return cut(q), people
+    return cut(q).drop("evidence"), people
 
 
 def labelled(items: DataFrame, labels: dict[str, list[str]], out: str = "judgment") -> DataFrame:
     """(target, aspect, out, confidence): the label of the largest posterior; of equal ones the first in the list."""
-    b = len(EASE)
-    d = items.select("target", "aspect", *[sum(F.col(f"q{k * b + i}") for i in range(b)).alias(f"p{k}") for k in range(LABELS)])
-    top = F.greatest(*[F.col(f"p{k}") for k in range(LABELS)])
+    b, most = len(EASE), max(len(x) for x in labels.values())
+    d = items.select("target", "aspect", *[sum(F.col(f"q{k * b + i}") for i in range(b)).alias(f"p{k}") for k in range(most)])
+    top = F.greatest(*[F.col(f"p{k}") for k in range(most)])
     best = F.lit(None).cast("string")
     for aspect, those in labels.items():
         name = F.lit(None).cast("string")

@@ -62,21 +62,23 @@ def landmarks(ids: np.ndarray) -> np.ndarray:
     return np.flatnonzero((h[WINDOW:] >> np.uint64(20)) % np.uint64(ONE_IN) == 0) + WINDOW
 
 
-def cuts(ids: np.ndarray, ends: np.ndarray, size: int, bounds: tuple[np.ndarray, np.ndarray], chars: np.ndarray, limit: int, overlap: int, least: int) -> list[tuple[int, int, str]]:
-    """(first token, token after the last, kind of its end) of each piece; ends are byte ends of tokens, chars of characters."""
-    n = len(ids)
-    whole = np.flatnonzero(np.isin(ends, chars)) + 1  # token positions that split no character
-    at = np.searchsorted(ends, bounds[0]) + 1
-    ok = (at <= n) & (ends[np.minimum(at, n) - 1] == bounds[0])
-    at, kinds = at[ok], bounds[1][ok]
-    marks = landmarks(ids)
-    marks = marks[np.isin(marks, whole)]
-    out, start = [], 0
-    while n - start > size:
+class _Cutter:
+    """Where a piece may end, over one text's tokens; ends are byte ends of tokens, chars of characters."""
+
+    def __init__(self, ids: np.ndarray, ends: np.ndarray, bounds: tuple[np.ndarray, np.ndarray], chars: np.ndarray):
+        self.whole = np.flatnonzero(np.isin(ends, chars)) + 1  # token positions that split no character
+        at = np.searchsorted(ends, bounds[0]) + 1
+        ok = (at <= len(ids)) & (ends[np.minimum(at, len(ids)) - 1] == bounds[0])
+        self.at, self.kinds = at[ok], bounds[1][ok]
+        marks = landmarks(ids)
+        self.marks = marks[np.isin(marks, self.whole)]
+
+    def end(self, start: int, size: int, least: int) -> tuple[int, str]:
+        """(token after the last, kind of the cut) of the piece from start, between least and size tokens."""
         low, high = start + least, start + size
-        m = marks[np.searchsorted(marks, low) : np.searchsorted(marks, high, "right")]
-        a, b = np.searchsorted(at, low), np.searchsorted(at, high, "right")
-        where, strong = at[a:b], kinds[a:b]
+        m = self.marks[np.searchsorted(self.marks, low) : np.searchsorted(self.marks, high, "right")]
+        a, b = np.searchsorted(self.at, low), np.searchsorted(self.at, high, "right")
+        where, strong = self.at[a:b], self.kinds[a:b]
         aim = int(m[0]) if len(m) else high
         if len(where):
             far = np.abs(where - aim)
@@ -86,15 +88,14 @@ def cuts(ids: np.ndarray, ends: np.ndarray, size: int, bounds: tuple[np.ndarray,
                     i = mine[np.argmin(far[mine])]
                     if best is None or far[i] + REACH < far[best]:
                         best = i
-            end, kind = int(where[best]), KINDS[3 - int(strong[best])]
-        elif len(m):
-            end, kind = aim, "landmark"
-        else:
-            end, kind = int(whole[np.searchsorted(whole, high, "right") - 1]), "limit"
-        out.append((start, end, kind))
-        start = int(whole[np.searchsorted(whole, end - overlap, "right") - 1])
-    out.append((start, n, "end"))
-    return out
+            return int(where[best]), KINDS[3 - int(strong[best])]
+        if len(m):
+            return aim, "landmark"
+        return self.back(high), "limit"
+
+    def back(self, position: int) -> int:
+        """The last token position up to this one that splits no character."""
+        return int(self.whole[np.searchsorted(self.whole, position, "right") - 1])
 
 
 def pieces_of(text: str, machine, limit: int = LIMIT, overlap: int = OVERLAP, least: int = LEAST) -> list[tuple[int, int, int, int, str]]:
@@ -103,46 +104,37 @@ def pieces_of(text: str, machine, limit: int = LIMIT, overlap: int = OVERLAP, le
     Every piece has at most `limit` tokens when it's encoded on its own. The shared stretch is the fewest whole characters
     that make `overlap` tokens or more, at most 3 more. A text within the limit is one piece.
     """
+    if not 0 <= 2 * (overlap + 4) < limit:
+        raise ValueError("pieces must be over twice as long as their overlap")
     ids = np.frombuffer(machine.encode(text), dtype="<i4")
-    if len(ids) <= limit:
-        return [(0, len(text), len(ids), 0, "end")]
-    by_id = machine.lengths()
-    ends = np.cumsum(by_id[ids])
+    n = len(ids)
+    if n <= limit:
+        return [(0, len(text), n, 0, "end")]
+    ends = np.cumsum(machine.lengths()[ids])
     chars = _bytes_before(text)
-    bounds = boundaries(text)
-    size = limit
-    while True:
-        found, out, last = cuts(ids, ends, size, bounds, chars, limit, overlap, min(least, size // 2)), [], 0
-        for start, end, kind in found:
-            a = int(np.searchsorted(chars, ends[start - 1] if start else 0))
+    cutter = _Cutter(ids, ends, boundaries(text), chars)
+    out, start, last, kind = [], 0, 0, ""
+    while kind != "end":
+        size = limit
+        a = int(np.searchsorted(chars, ends[start - 1] if start else 0))
+        while True:
+            end, kind = (n, "end") if n - start <= size else cutter.end(start, size, min(least, size // 2))
             b = int(np.searchsorted(chars, ends[end - 1]))
-            out.append((a, b, machine.count(text[a:b]), last - start if start else 0, kind))
-            last = end
-        if max(p[2] for p in out) <= limit:
-            return out
-        # a piece that starts inside a run can have a few tokens more on its own than in the whole text
-        size -= max(p[2] for p in out) - limit
-
-
-def over_limit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, path: str = BYTE_BPE_50K) -> DataFrame:
-    """(id, text, n_tokens): texts of more than `limit` tokens. Texts of at most so many bytes can't have more and aren't
-    encoded; a null text has none. Each row of df counts for itself."""
-
-    def run(batches):
-        machine = loaded(path)
-        for b in batches:
-            for i in range(b.num_rows):
-                if (n := machine.count(b.column(1)[i].as_py())) > limit:
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([n], pa.int32())], ["id", "text", "n_tokens"])
-
-    d = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(may_exceed(F.col("text"), limit))
-    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, text string, n_tokens int").withColumnRenamed("id", id_col)
+            tokens = machine.count(text[a:b])
+            if tokens <= limit:
+                break
+            # a piece that starts inside a run can have a few tokens more on its own than in the whole text: it alone is shortened
+            size = min(size, end - start) - (tokens - limit)
+        out.append((a, b, tokens, last - start if start else 0, kind))
+        start, last = cutter.back(end - overlap), end
+    return out
 
 
 def split(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, least: int = LEAST, path: str = BYTE_BPE_50K) -> DataFrame:
     """(id, piece, first_char, next_char, n_tokens, shared_tokens, ends_at, text): the pieces of every text over the limit.
 
-    Texts within it, empty and null texts have no rows here: they stay as they are.
+    Texts within it, empty and null texts have no rows here: they stay as they are, and texts of at most `limit` bytes aren't encoded,
+    since they can't have more tokens. Each row of df counts for itself, so a repeated row comes out twice.
     """
 
     def run(batches):

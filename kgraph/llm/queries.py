@@ -113,7 +113,8 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
-    return pieces.over_limit(table(spark, d, "documents")).select("doc_id")
+    """Documents that are split: every one of them has a first piece, and no other document has one."""
+    return pieces.split(table(spark, d, "documents")).where("piece = 0").select("doc_id")
 
 
 def p9_pieces(spark: SparkSession, d: str) -> DataFrame:

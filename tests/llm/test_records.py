@@ -51,10 +51,28 @@ def test_consensus_recovers_truth_both_ways(spark):
     assert np.mean([got[i] == "abc"[t] for i, t in truth.items()]) > 0.95
     skill = {r["reviewer"]: r["ability"] for r in people.where("code = 0").collect()}
     assert skill["r0"] > 0.8 > 0.5 > skill["r3"] > skill["r4"]
-    joined, _ = consensus.fit(v, {"x": 3, "y": 2}, rounds=3, most=0)
-    tables, _ = consensus.fit(v, {"x": 3, "y": 2}, rounds=3)
-    a, b = ({r["target"]: (r["judgment"], round(r["confidence"], 6)) for r in consensus.labelled(x, LABELS).collect()} for x in (joined, tables))
-    assert a == b
+
+
+def test_both_ways_of_summing_agree(spark):
+    """Several settings: four labels beside two, one label only, rejections and approvals without a judgment, silent annotators."""
+    rng = random.Random(5)
+    for sizes in ({"x": 4, "y": 2}, {"x": 2, "y": 3}):
+        rows = []
+        for i in range(60):
+            for aspect, n in sizes.items():
+                t = rng.randrange(n)
+                rows += [(f"i{i}", aspect, f"r{r}", None if r == 5 else t if rng.random() < 0.75 else rng.choice([-1, -2, *range(n)])) for r in range(6) if rng.random() < 0.8]
+        v = spark.createDataFrame(rows, "target string, aspect string, reviewer string, code int")
+        names = {a: [f"{a}{k}" for k in range(n)] for a, n in sizes.items()}
+        got = []
+        for most in (0, 20_000):
+            items, people = consensus.fit(v, sizes, most=most)
+            got.append(({(r["target"], r["aspect"]): (r["judgment"], r["confidence"]) for r in consensus.labelled(items, names).collect()}, {(r["aspect"], r["reviewer"]): r["ability"] for r in people.where("code = 0").collect()}))
+        for a, b in zip(*got, strict=True):
+            assert a.keys() == b.keys()
+            for k in a:
+                x, y = (a[k], b[k]) if isinstance(a[k], tuple) else ((None, a[k]), (None, b[k]))
+                assert x[0] == y[0] and abs(x[1] - y[1]) < 1e-6, (k, x, y)
 
 
 def test_votes_are_cleaned(spark):
