@@ -8,6 +8,9 @@ aspect. The automaton holds whole names, whole aliases, contents, and the fixed
 means an entry if it mentions the whole of it, or one content and one aspect whose entry is in the list; a known content with a
 known aspect that the list lacks means no entry. Values without such mentions go to token-set similarity over
 their rest: first for the aspect, then for the content.
+
+What people put around a title ("review:", "lesson 2") says nothing of what it means. Such frames are learned from the values
+themselves: what stands before or after whole mentions of many different entries (`frames`).
 """
 
 from __future__ import annotations
@@ -15,32 +18,36 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Sequence
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kgraph.llm.looks import unify
+from kgraph.session import cut
 
-# Traditional forms of common characters, their simplified forms, and numerals.
-TRADITIONAL_SIMPLIFIED = "圖图應应觀观記记錄录驗验計计義义綜综練练習习質质歷历實实軸轴對对稱称長长體体數数圓圆錐锥積积條条斷断負负畫画讀读寫写類类從从與与個个這这為为說说時时問问題题測测標标點点線线統统單单電电聲声傳传書书語语詞词號号關关聯联學学識识認认變变環环結结構构機机軟软幣币種种葉叶擺摆節节氣气溫温熱热燈灯壓压層层級级國国邊边護护續续總总經经絕绝約约紙纸組组給给維维編编縱纵橫横權权歡欢無无狀状獨独異异當当盤盘蓋盖確确穩稳競竞筆笔簡简處处補补裝装裡里複复見见規规視视覺觉試试詩诗話话詳详請请論论談谈調调證证議议譯译貝贝資资賽赛跡迹較较載载輕轻輪轮轉转辦办達达違违遠远適适選选醫医釋释鍵键鐵铁錶表鐘钟陰阴陽阳隊队隨随險险雙双雜杂離离難难雲云靈灵靜静韻韵順顺預预領领額额願愿顯显飲饮養养館馆髮发鬆松鹽盐麥麦麵面齊齐龍龙滾滚滿满漢汉準准絲丝細细終终繪绘紅红綠绿織织緯纬職职舊旧藝艺術术蘭兰蟲虫蠶蚕發发衛卫詢询誤误諧谐譜谱讓让豐丰財财貨货買买賣卖費费賞赏趨趋車车軌轨辭辞運运過过還还進进遞递遺遗鄉乡銀银鋼钢錢钱鏡镜開开間间閉闭際际陸陆電电頁页頂顶項项頭头風风飛飞飯饭馬马驚惊魚鱼鳥鸟黃黄齒齿齡龄龜龟換换塗涂減减勢势圍围壞坏墊垫夠够夢梦夾夹專专尋寻導导屬属師师帶带幫帮庫库廠厂徑径恆恒態态憶忆懷怀戰战戲戏掃扫損损搖摇撥拨擇择擊击擔担據据攝摄會会樹树極极樂乐檢检樣样檔档檯台櫃柜歲岁歸归殘残殼壳氫氢溝沟滅灭漁渔潛潜澤泽濕湿濟济灣湾燒烧營营牆墙獎奖獲获現现產产畢毕療疗盡尽監监禮礼積积穀谷窮穷範范築筑籃篮糧粮純纯紋纹納纳紐纽級级"
+# Numerals and their digits.
 NUMERALS = ("零一二两三四五六七八九", "01223456789")
-#: Words put before or after a title that say nothing of what it means; a parameter of `Matcher`.
-FRAMES = ("学会", "理解", "了解", "体会", "初步认识", "探索并掌握", "进一步感受", "能说出", "复习", "新授", "选修", "试讲稿", "练习课", "单元回顾", "课时")
+#: A frame stands beside whole mentions of at least so many entries, and of at least this share of all that have something on its side.
+FRAME_ENTRIES, FRAME_SHARE = 3, 0.01
 
 
 @cache
-def _fold_table() -> dict[int, str]:
-    table = {ord(a): b for a, b in zip(TRADITIONAL_SIMPLIFIED[::2], TRADITIONAL_SIMPLIFIED[1::2], strict=True)}
-    return table | {ord(a): b for a, b in zip(*NUMERALS, strict=True)}
+def simplified(spark: SparkSession) -> dict[int, str]:
+    """Traditional characters with their simplified forms, as a table for str.translate, by the rules of the ICU library that Spark brings,
+    and numerals with their digits."""
+    chars = [chr(c) for c in [*range(0x3400, 0x4DC0), *range(0x4E00, 0xA000)]]
+    forms = spark._jvm.com.ibm.icu.text.Transliterator.getInstance("Traditional-Simplified").transliterate("\n".join(chars)).split("\n")
+    return {ord(a): b for a, b in zip(chars, forms, strict=True) if a != b and len(b) == 1} | {ord(a): b for a, b in zip(*NUMERALS, strict=True)}
 
 
-def fold(text: str) -> str:
-    """The key that mentions are sought in: lower case, simplified, numerals as digits, only letters and digits, no letter
+def fold(text: str, table: dict[int, str]) -> str:
+    """The key that mentions are sought in: lower case, simplified, numerals as digits (the table), only letters and digits, no letter
     doubled."""
-    return re.sub(r"(\D)\1+", r"\1", re.sub(r"[\W_]+", "", text.lower().translate(_fold_table())))
+    return re.sub(r"(\D)\1+", r"\1", re.sub(r"[\W_]+", "", text.lower().translate(table)))
 
 
 class Parts:
@@ -89,13 +96,15 @@ class Parts:
 
 
 class Matcher:
-    """match(folded value) -> (entry or None, how, score)."""
+    """match(folded value) -> (entry or None, how, score). heads and tails are frames, with # for a run of digits."""
 
-    def __init__(self, entries: dict[str, tuple[str, list[str]]], frames=FRAMES, least: float = 0.5):
+    def __init__(self, entries: dict[str, tuple[str, list[str]]], table: dict[int, str] | None = None, heads: Sequence[str] = (), tails: Sequence[str] = (), least: float = 0.5):
         import ahocorasick
 
         self.least = least
-        folded = {i: (fold(n), [fold(a) for a in aliases if a and fold(a)]) for i, (n, aliases) in entries.items() if n and fold(n)}
+        self.fold = lambda x: fold(x, table or {})
+        fold_ = self.fold
+        folded = {i: (fold_(n), [fold_(a) for a in aliases if a and fold_(a)]) for i, (n, aliases) in entries.items() if n and fold_(n)}
         parts = Parts(list(folded.values()))
         self.entry: dict[tuple[str, str], str] = {}
         self.whole: dict[str, str] = {}
@@ -118,7 +127,11 @@ class Matcher:
                 pieces = tuple(p.lstrip("".join(joint)) if p == t else p for p in s.split("\0") if p)
                 if any(pieces):
                     self.phrase[pieces] = t
-        self.frames = sorted((fold(f) for f in frames), key=len, reverse=True)
+        either = lambda forms: "|".join(re.escape(f).replace(r"\#", r"\d+") for f in sorted(forms, key=lambda f: (-len(f), f)))
+        self.head = re.compile(either(heads)) if heads else None
+        counted = [f for f in tails if "#" in f]
+        self.number = re.compile(rf"(?<=\D)(?:{either(counted)})$") if counted else None
+        self.tails = sorted((f for f in tails if "#" not in f), key=lambda f: (-len(f), f))
         self.automaton = ahocorasick.Automaton()
         for x in {*self.whole, *self.content, *(p for ps in self.phrase for p in ps)}:
             self.automaton.add_word(x, x)
@@ -149,14 +162,22 @@ class Matcher:
     def weight(self, chars) -> float:
         return sum(self.idf.get(c, self.rare) * k for c, k in chars.items())
 
+    def beside(self, key: str) -> list[tuple[str, str, str]]:
+        """(side, form, entry): what stands before and after the one whole mention of a value; digits as #."""
+        found = [m for m in self.mentions(key) if m[2] in self.whole] if key not in self.whole else []
+        if len(found) != 1:
+            return []
+        a, b, x = found[0]
+        return [(side, re.sub(r"\d+", "#", s), self.whole[x]) for side, s in (("head", key[:a]), ("tail", key[b:])) if s]
+
     def strip(self, key: str) -> str:
-        key = re.sub(r"(?<=\D)(第\d+课时|v?\d{1,2})$", "", key)
+        """The value without frames: two in front of it, one behind, after which a single stray character may follow."""
+        if self.number:
+            key = self.number.sub("", key)
         for _ in range(2):
-            for f in self.frames:
-                if key.startswith(f) and len(key) > len(f):
-                    key = key[len(f) :]
-                    break
-        for f in self.frames:
+            if self.head and (m := self.head.match(key)) and m.end() < len(key):
+                key = key[m.end() :]
+        for f in self.tails:
             at = key.rfind(f)
             if at > 1 and len(key) - at - len(f) <= 1:
                 key = key[:at]
@@ -275,14 +296,36 @@ class Matcher:
         return len(ways) < 2 or ways[1][1] == ways[0][1] or ways[1][0] < ways[0][0]
 
 
-def assign(values: DataFrame, entries: DataFrame, key: str, text: str, entry_id: str = "id", name: str = "name", aliases: str = "aliases", frames=FRAMES, most_entries: int = 100_000) -> DataFrame:
+def frames(looks: DataFrame, listed: dict[str, tuple[str, list[str]]], table: dict[int, str]) -> tuple[list[str], list[str]]:
+    """(heads, tails) learned from all of looks (text, looks): forms beside whole mentions of at least FRAME_ENTRIES entries that make up at
+    least FRAME_SHARE of all such (form, entry) on their side, so there are at most 1/FRAME_SHARE a side."""
+
+    def run(batches):
+        m = Matcher(listed, table)
+        for b in batches:
+            got = sorted({x for t in b.column(1).to_pylist() if t for x in m.beside(m.fold(t))})
+            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.string()) for i in range(3)], ["side", "form", "entry"])
+
+    seen = looks.mapInArrow(run, "side string, form string, entry string").distinct().groupBy("side", "form").agg(F.count("*").alias("n"))
+    seen = cut(seen)
+    most = {r["side"]: r["t"] for r in seen.groupBy("side").agg(F.sum("n").alias("t")).collect()}
+    out = []
+    for side in ("head", "tail"):
+        least = max(FRAME_ENTRIES, most.get(side, 0) * FRAME_SHARE)
+        out.append(sorted(r["form"] for r in seen.where((F.col("side") == side) & (F.col("n") >= least)).select("form").collect()))
+    return out[0], out[1]
+
+
+def assign(values: DataFrame, entries: DataFrame, key: str, text: str, entry_id: str = "id", name: str = "name", aliases: str = "aliases", around: tuple[Sequence[str], Sequence[str]] | None = None, most_entries: int = 100_000) -> DataFrame:
     """(text, looks, entry_id, how, score): one row a distinct text of values, entry_id null if it means no entry.
 
     how is mention, similar, empty (a null or blank text, or one without letters and digits) or unmatched. The reference
     list goes to every worker, so it must have at most most_entries rows, else ValueError. Repeated rows of an entry
     add their aliases; an entry without id or name takes no part; two entries of one wording: the smallest id has it.
-    Only distinct texts are matched, so a text of a third of the rows costs one match.
+    Only distinct texts are matched, so a text of a third of the rows costs one match. around gives the frames (heads, tails)
+    in their folded form, # for digits; without it they are learned from the values (`frames`).
     """
+    spark = values.sparkSession
     e = entries.where(F.col(entry_id).isNotNull()).select(F.col(entry_id).alias("id"), F.col(name).alias("name"), F.coalesce(F.col(aliases), F.array().cast("array<string>")).alias("aliases"))
     if (n := e.limit(most_entries + 1).count()) > most_entries:
         raise ValueError(f"the reference list has over {most_entries} rows")
@@ -294,16 +337,21 @@ def assign(values: DataFrame, entries: DataFrame, key: str, text: str, entry_id:
         elif r["id"] in listed:
             listed[r["id"]][1].append(r["word"])
     d = values.select(F.col(text).alias("text")).distinct()
-    # a fixed number of parts: matching costs far more than the bytes that adaptive coalescing goes by
-    d = unify(d.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "text"), "text", "looks")
+    # a fixed number of parts: matching costs far more than the bytes that adaptive coalescing goes by. By a hash of its own, since
+    # a repartition by the column of distinct would be taken for done
+    d = unify(d.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("text")), "text", "looks")
+    table = simplified(spark)
+    if around is None:
+        d = cut(d)
+        around = frames(d, listed, table)
 
     def run(batches):
-        m = Matcher(listed, frames)
+        m = Matcher(listed, table, *around)
         memo: dict[str, tuple] = {}
         for b in batches:
             got = []
             for x in b.column(1).to_pylist():
-                k = fold(x) if x else ""
+                k = m.fold(x) if x else ""
                 if k not in memo:
                     if len(memo) > 200_000:
                         memo.clear()

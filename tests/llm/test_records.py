@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from kgraph.llm import consensus, groups, mixture, reference_list
+from kgraph.llm import consensus, groups, looks, mixture, reference_list
 
 LABELS = {"x": ["a", "b", "c"], "y": ["approved", "rejected"]}
 
@@ -96,12 +96,24 @@ def test_reference_list(spark):
     e = spark.createDataFrame(ENTRIES, "id string, name string, aliases array<string>")
     want = {"圆柱的检验": "e圆柱检验", "学会圆柱检验（选修）": "e圆柱检验", "检验/圆柱": "e圆柱检验", "圓柱的檢驗": "e圆柱检验", "土壤的历史史故事": "e土壤历史故事", "土壤的历故事": "e土壤历史故事", "等三角形的估测": "e等腰三角形估测", "别名数轴检验": "e数轴检验", "数轴的估测": None, "竹竿舞的检验": None, "圆柱展示课": None, "": None, "——": None, None: None}
     d = spark.createDataFrame([(f"d{i}", t, "x") for i, t in enumerate(want)], "draft_id string, text string, id string")
-    got = {r["text"]: r for r in reference_list.assign(d.unionByName(d), e, "draft_id", "text").collect()}
+    got = {r["text"]: r for r in reference_list.assign(d.unionByName(d), e, "draft_id", "text", around=(["学会"], ["选修"])).collect()}
     assert {k: r["entry_id"] for k, r in got.items()} == want
     assert got[""]["how"] == got[None]["how"] == "empty" and len(got) == len(want)
     assert {r["entry_id"] for r in reference_list.assign(d, e.limit(0), "draft_id", "text").collect()} == {None}
 
 
+def test_frames_are_learned(spark):
+    e = spark.createDataFrame(ENTRIES, "id string, name string, aliases array<string>")
+    texts = [f"{h}{n}{t}" for _, n, _ in ENTRIES[:8] for h, t in (("备课：", ""), ("", "第3课时"), ("备课", "第十一课时"), ("", "（二稿）"))] + ["独有圆柱的检验", "备课 土壤的历史史故事", "等三角形的估测 第2课时"]
+    d = spark.createDataFrame([(x,) for x in texts], "text string")
+    looked = looks.unify(d, "text", "looks")
+    listed = {i: (n, a or []) for i, n, a in ENTRIES if i and n}
+    heads, tails = reference_list.frames(looked, listed, reference_list.simplified(spark))
+    assert heads == ["备课"] and set(tails) >= {"#稿", "第#课时"}
+    got = {r["text"]: r["entry_id"] for r in reference_list.assign(d, e, "text", "text").collect()}
+    assert got["备课 土壤的历史史故事"] == "e土壤历史故事" and got["等三角形的估测 第2课时"] == "e等腰三角形估测"
+
+
 def test_cube_keeps_balance():
     rng = np.random.default_rng(0)
     x = np.stack([np.ones(800), rng.integers(1, 9000, 800)], 1)
