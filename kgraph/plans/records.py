@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgraph.operators import hierarchy, orphans
-from kgraph.session import cut, ship
+from kgraph.operators.skew import hot_join
+from kgraph.session import ship
 from kgraph.sources.tables import table
 
 
@@ -14,69 +15,64 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.cycles(table(spark, d, "dependencies"), "topic_id", "prerequisite_id").select("cycle_id", F.col("node").alias("topic_id"))
 
 
-def _sets(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.nested_sets(table(spark, d, "dependencies"), "topic_id", "prerequisite_id", table(spark, d, "topics").select("id"))
-
-
-def _contracted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(links, members, places) of dependencies, with each cycle as one node."""
-    e, members = hierarchy.contracted(table(spark, d, "dependencies"), "topic_id", "prerequisite_id", table(spark, d, "topics").select("id"))
-    return e, members, cut(hierarchy.places(e, members))
+def _hierarchy(spark: SparkSession, d: str) -> hierarchy.Hierarchy:
+    """Of dependencies, with the ids of topics."""
+    return hierarchy.hierarchy(table(spark, d, "dependencies"), "topic_id", "prerequisite_id", table(spark, d, "topics").select("id"))
 
 
 def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
     """(topic_id, status, parent, root, depth, path, lft, rgt, descendants): one row an id.
 
-    status is tree, cycle (on a cycle) or behind (below one). In parent, root and path, a cycle is one node and
+    status is tree, cycle (on a cycle) or behind (below one). In parent, root and path (ids joined by '/'), a cycle is one node and
     has its cycle_id of p4_found; the topics on it share its place. Of several parents the smallest gives parent, root,
     depth, path and the range; p4_paths and p4_roots have the others'. descendants counts the ids below over all links.
     """
-    return nodes(*_contracted(spark, d))
+    return nodes(_hierarchy(spark, d))
 
 
-def nodes(e: DataFrame, members: DataFrame, places: DataFrame) -> DataFrame:
-    pairs = cut(hierarchy.ancestry(places, e, "child", "parent"))
-    size = members.groupBy(F.col("v").alias("descendant")).agg(F.count("*").alias("n"))
-    below = pairs.join(size, "descendant").groupBy(F.col("ancestor").alias("v")).agg(F.sum("n").alias("below"))
-    behind = pairs.join(members.where("looped").select(F.col("v").alias("ancestor")).distinct(), "ancestor", "left_semi").select(F.col("descendant").alias("v"), F.lit(True).alias("behind")).distinct()
-    status = F.when(F.col("looped"), "cycle").when(F.col("behind"), "behind").otherwise("tree")
-    rows = members.join(places.drop("status", "descendants").withColumnRenamed("node", "v"), "v").join(behind, "v", "left").join(below, "v", "left")
-    return rows.select(F.col("node").alias("topic_id"), status.alias("status"), "parent", "root", "depth", "path", "lft", "rgt", F.coalesce("below", F.lit(0)).alias("descendants"))
+def nodes(h: hierarchy.Hierarchy) -> DataFrame:
+    rows = hot_join(h.members, h.sets.join(hierarchy.descendant_counts(h), "v"), ["v"])
+    return rows.select(F.col("node").alias("topic_id"), "status", "parent", "root", "depth", F.concat_ws("/", "path").alias("path"), "lft", "rgt", "descendants")
 
 
 def p4_paths(spark: SparkSession, d: str) -> DataFrame:
     """(topic_id, path): every path from a root to an id, over all its parents; a cycle is one node, as in p4_nodes."""
-    e, members = hierarchy.contracted(table(spark, d, "dependencies"), "topic_id", "prerequisite_id", table(spark, d, "topics").select("id"))
-    return members.join(hierarchy.paths(e, members).withColumnRenamed("node", "v"), "v").select(F.col("node").alias("topic_id"), "path")
+    h = _hierarchy(spark, d)
+    return h.members.join(hierarchy.paths(h), "v").select(F.col("node").alias("topic_id"), F.concat_ws("/", "path").alias("path"))
 
 
 def p4_ancestry(spark: SparkSession, d: str) -> DataFrame:
-    """(ancestor, descendant) among topics that are neither on a cycle nor below one, as its SQL has it; p4_descendants has all."""
-    return hierarchy.ancestry(cut(_sets(spark, d)), table(spark, d, "dependencies"), "topic_id", "prerequisite_id")
+    """(ancestor, descendant) among topics that are neither on a cycle nor below one; p4_descendants has all."""
+    return ancestry(_hierarchy(spark, d))
+
+
+def ancestry(h: hierarchy.Hierarchy) -> DataFrame:
+    # what is above such a topic is such a topic too
+    clean = h.members.where("status = 'tree'").select(F.col("v").alias("descendant")).distinct()
+    return hot_join(hierarchy.descendants(h), clean, ["descendant"], "left_semi").select("ancestor", "descendant")
 
 
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
     """(ancestor, descendant): all pairs of ids, those on cycles and below them too. Ids of one cycle are no pair; p4_found has them."""
-    return expanded(*_contracted(spark, d))
+    return expanded(_hierarchy(spark, d))
 
 
-def expanded(e: DataFrame, members: DataFrame, places: DataFrame) -> DataFrame:
-    m = members.select("node", "v")
-    above = hierarchy.ancestry(places, e, "child", "parent").join(m.toDF("a", "ancestor"), "ancestor")
+def expanded(h: hierarchy.Hierarchy) -> DataFrame:
+    m = h.members.select("node", "v")
+    above = hierarchy.descendants(h).join(m.toDF("a", "ancestor"), "ancestor")
     return above.join(m.toDF("b", "descendant"), "descendant").select(F.col("a").alias("ancestor"), F.col("b").alias("descendant"))
 
 
 def p4_roots(spark: SparkSession, d: str) -> DataFrame:
     """(topic_id, root_id): every id with each root above it, a root with itself. A cycle with nothing above it is a root by
     its cycle_id."""
-    return roots(*_contracted(spark, d))
+    return roots(_hierarchy(spark, d))
 
 
-def roots(e: DataFrame, members: DataFrame, places: DataFrame) -> DataFrame:
-    top = places.where("depth = 0").select(F.col("node").alias("root_id"))
-    above = hierarchy.ancestry(places, e, "child", "parent").join(top, F.col("ancestor") == F.col("root_id")).select(F.col("descendant").alias("v"), "root_id")
-    every = above.unionByName(top.select(F.col("root_id").alias("v"), "root_id"))
-    return every.join(members.select("v", F.col("node").alias("topic_id")), "v").select("topic_id", "root_id")
+def roots(h: hierarchy.Hierarchy) -> DataFrame:
+    top = h.sets.where("parent IS NULL").select("v")
+    every = hierarchy.descendants(h, top).select(F.col("descendant").alias("v"), F.col("ancestor").alias("root_id")).unionByName(top.select("v", F.col("v").alias("root_id")))
+    return every.join(h.members.select("v", F.col("node").alias("topic_id")), "v").select("topic_id", "root_id")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -120,11 +116,45 @@ WITH RECURSIVE e AS (
 reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a)
 """
 
+# every id with what stands for it (its cycle's smallest id), and the links between those
+_STANDS = (
+    _REACH
+    + """, cyc AS (SELECT x.a AS node, min(x.b) AS v FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
+ids AS (SELECT id AS node FROM topics WHERE id IS NOT NULL UNION SELECT a FROM e UNION SELECT b FROM e),
+m AS (SELECT i.node, coalesce(c.v, i.node) AS v, c.v IS NOT NULL AS looped FROM ids i LEFT JOIN cyc c ON i.node = c.node),
+g AS (SELECT DISTINCT p.v AS p, c.v AS c FROM e JOIN m p ON e.a = p.node JOIN m c ON e.b = c.node WHERE p.v <> c.v),
+pairs AS (SELECT DISTINCT x.v AS a, y.v AS b FROM reach r JOIN m x ON r.a = x.node JOIN m y ON r.b = y.node WHERE x.v <> y.v)
+"""
+)
+
 ORACLES = {
     "p4_found": _REACH + "SELECT min(x.b) AS cycle_id, x.a AS topic_id FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a",
     "p4_ancestry": _REACH
     + """, odd AS (SELECT a AS v FROM reach WHERE a = b UNION SELECT r.b FROM reach r JOIN reach c ON r.a = c.a AND c.a = c.b)
 SELECT DISTINCT a AS ancestor, b AS descendant FROM reach WHERE a NOT IN (SELECT v FROM odd) AND b NOT IN (SELECT v FROM odd)""",
+    "p4_descendants": _STANDS + "SELECT x.node AS ancestor, y.node AS descendant FROM pairs r JOIN m x ON r.a = x.v JOIN m y ON r.b = y.v",
+    "p4_roots": _STANDS
+    + """, tops AS (SELECT DISTINCT v FROM m WHERE v NOT IN (SELECT c FROM g))
+SELECT m.node AS topic_id, r.a AS root_id FROM pairs r JOIN tops t ON r.a = t.v JOIN m ON r.b = m.v
+UNION ALL SELECT m.node, m.v FROM m JOIN tops t ON m.v = t.v""",
+    "p4_paths": _STANDS
+    + """, p AS (SELECT DISTINCT v, [v] AS path FROM m WHERE v NOT IN (SELECT c FROM g)
+  UNION ALL SELECT g.c, list_append(p.path, g.c) FROM p JOIN g ON p.v = g.p)
+SELECT m.node AS topic_id, array_to_string(p.path, '/') AS path FROM p JOIN m ON p.v = m.v""",
+    "p4_nodes": _STANDS
+    + """, w AS (SELECT v, count(*) AS n FROM m GROUP BY v),
+first AS (SELECT c AS v, min(p) AS parent FROM g GROUP BY c),
+p AS (SELECT v, [v] AS path FROM w WHERE v NOT IN (SELECT v FROM first)
+  UNION ALL SELECT f.v, list_append(p.path, f.v) FROM p JOIN first f ON p.v = f.parent),
+steps AS (SELECT unnest(path) AS a, v FROM p),
+size AS (SELECT s.a AS v, sum(w.n) AS size FROM steps s JOIN w ON s.v = w.v GROUP BY s.a),
+low AS (SELECT p.v, p.path, 1 + coalesce(sum(w.n) OVER (ORDER BY p.path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft FROM p JOIN w ON p.v = w.v),
+many AS (SELECT r.a AS v, sum(w.n) AS n FROM pairs r JOIN w ON r.b = w.v GROUP BY r.a),
+behind AS (SELECT DISTINCT r.b AS v FROM pairs r JOIN m ON r.a = m.v WHERE m.looped)
+SELECT m.node AS topic_id, CASE WHEN m.looped THEN 'cycle' WHEN b.v IS NOT NULL THEN 'behind' ELSE 'tree' END AS status,
+  f.parent, l.path[1] AS root, CAST(len(l.path) - 1 AS INTEGER) AS depth, array_to_string(l.path, '/') AS path,
+  CAST(l.lft AS BIGINT) AS lft, CAST(l.lft + s.size - 1 AS BIGINT) AS rgt, CAST(coalesce(k.n, 0) AS BIGINT) AS descendants
+FROM m JOIN low l ON m.v = l.v JOIN size s ON m.v = s.v LEFT JOIN first f ON m.v = f.v LEFT JOIN many k ON m.v = k.v LEFT JOIN behind b ON m.v = b.v""",
     "p6_found": _ORPHANS + "SELECT table_name, row_id, field_name, kind, period FROM found WHERE kind IS NOT NULL",
     "p6_monthly": _ORPHANS + "SELECT table_name, field_name, kind, period, count(*) AS failing FROM found WHERE kind IS NOT NULL GROUP BY ALL",
 }

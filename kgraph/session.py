@@ -6,12 +6,15 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when its measured size stays under this bound.
 BROADCAST_BYTES = 16 << 20
+#: Rows that one task of a loop's round takes.
+ROWS_A_TASK = 50_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -43,6 +46,31 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)
 
 
+def cut_counting(df: DataFrame, those: Column) -> tuple[DataFrame, int]:
+    """`cut`, and how many of the rows fulfil a condition, counted while they're written instead of by another job."""
+    seen = Observation()
+    done = cut(df.observe(seen, F.count_if(those).alias("n")))
+    return done, seen.get["n"]
+
+
+@contextmanager
+def rounds(spark: SparkSession, rows: int):
+    """For the eager rounds of a loop over tables of about `rows` rows: one job a round, with partitions to fit the rows.
+
+    Adaptive execution runs every shuffle and broadcast of a plan as a job of its own, which for hundreds of small plans costs more than
+    they do. The settings are the session's and are put back; they change no result, only plans made meanwhile.
+    """
+    names = ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")
+    old = {n: spark.conf.get(n) for n in names}
+    spark.conf.set(names[0], "false")
+    spark.conf.set(names[1], str(max(2, min(int(old[names[1]]), -(-rows // ROWS_A_TASK)))))
+    try:
+        yield
+    finally:
+        for n, v in old.items():
+            spark.conf.set(n, v)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write to a table in the shared folder and read it back: columnar, with file statistics for the planner."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/kgraph-{name}-{uuid.uuid4().hex}"

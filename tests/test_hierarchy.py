@@ -1,6 +1,7 @@
 import random
 
-from kgraph.operators.hierarchy import ancestry, cycles, nested_sets
+from kgraph.operators.hierarchy import cycles, descendants, hierarchy, stabbed
+from kgraph.plans import records
 
 
 def edges(spark, pairs):
@@ -45,25 +46,39 @@ def test_cycles_of_random_graphs(spark):
 
 def test_no_links(spark):
     assert cycles(edges(spark, []), "child", "parent").collect() == []
-    rows = nested_sets(edges(spark, [(None, "a")]), "child", "parent", spark.createDataFrame([("b",)], "id string")).collect()
-    assert [(r["node"], r["status"], r["depth"], r["descendants"]) for r in rows] == [("b", "tree", 0, 0)]
+    h = hierarchy(edges(spark, [(None, "a")]), "child", "parent", spark.createDataFrame([("b",)], "id string"))
+    assert [(r["topic_id"], r["status"], r["depth"], r["descendants"]) for r in records.nodes(h).collect()] == [("b", "tree", 0, 0)]
+    assert descendants(h).collect() == [] and records.roots(h).collect() == [("b", "b")]
+    assert records.nodes(hierarchy(edges(spark, []), "child", "parent")).collect() == []
 
 
-def test_nested_sets_and_ancestry(spark):
+def test_ranges_and_ancestry(spark):
     rng = random.Random(9)
     pairs = [(f"n{i:02d}", f"n{rng.randrange(i):02d}") for i in range(1, 40) for _ in range(rng.choice((1, 1, 2)))]
-    pairs += [("s", "s"), ("below", "s"), ("c1", "c2"), ("c2", "c1"), ("under", "c1"), ("deeper", "under")]
-    df = edges(spark, pairs)
-    sets = nested_sets(df, "child", "parent").cache()
-    rows = {r["node"]: r for r in sets.collect()}
+    pairs += [("s", "s"), ("below", "s"), ("c1", "c2"), ("c2", "c1"), ("under", "c1"), ("deeper", "under"), ("n03/x", "n07"), ("y", "n03/x"), ("x", "n11")]
+    h = hierarchy(edges(spark, pairs), "child", "parent")
+    rows = {r["topic_id"]: r for r in records.nodes(h).collect()}
     assert {k for k, r in rows.items() if r["status"] == "cycle"} == {"s", "c1", "c2"}
     assert {k for k, r in rows.items() if r["status"] == "behind"} == {"below", "under", "deeper"}
-    tree = {k: r for k, r in rows.items() if r["status"] == "tree"}
-    assert sorted(r["lft"] for r in tree.values()) == list(range(1, 41))
-    for k, r in tree.items():
-        path = r["path"].split("/")
-        assert path[-1] == k and len(path) == r["depth"] + 1 and path[0] == r["root"]
-        inside = {j for j, s in tree.items() if r["lft"] < s["lft"] <= r["rgt"]}
-        assert inside == {j for j, s in tree.items() if k in s["path"].split("/")[:-1]} and len(inside) == r["descendants"]
+    assert rows["c1"]["lft"] == rows["c2"]["lft"] and rows["c1"]["rgt"] - rows["c1"]["lft"] == 3
+    sets = {r["v"]: r for r in h.sets.collect()}
+    taken = sorted(i for r in sets.values() for i in range(r["lft"], r["lft"] + r["weight"]))
+    assert taken == list(range(1, len(rows) + 1))
+    for v, r in sets.items():
+        assert r["path"][-1] == v and r["path"][0] == r["root"] and len(r["path"]) == r["depth"] + 1
+        assert {u for u, s in sets.items() if r["lft"] < s["lft"] <= r["rgt"]} == {u for u, s in sets.items() if v in s["path"][:-1]}
+    tree = {k for k, r in rows.items() if r["status"] == "tree"}
     reach = reachable([e for e in pairs if e[0] in tree and e[1] in tree])
-    assert {tuple(r) for r in ancestry(sets, df, "child", "parent").collect()} == {(a, d) for a in reach for d in reach[a]}
+    got = [tuple(r) for r in records.ancestry(h).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, d) for a in reach for d in reach[a]}
+    some = spark.createDataFrame([("n00",), ("n05",)], "id string")
+    assert {tuple(r) for r in descendants(h, some).collect()} == {(a, d) for a in ("n00", "n05") for d in reach[a]}
+
+
+def test_stabbed(spark):
+    rng = random.Random(1)
+    ranges = [(i, *sorted((rng.randrange(9000), rng.randrange(9000)))) for i in range(40)] + [(90, 5, 4), (91, 7, 7), (92, 0, 9000)]
+    points = [(i, rng.randrange(9001)) for i in range(300)] + [(900, 7)]
+    a, b = spark.createDataFrame(ranges, "a int, lo long, hi long"), spark.createDataFrame(points, "p int, at long")
+    got = [tuple(r) for r in stabbed(a, b).select("a", "p").collect()]
+    assert sorted(got) == sorted((i, p) for i, lo, hi in ranges for p, at in points if lo <= at <= hi)
