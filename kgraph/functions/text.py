@@ -5,50 +5,60 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Chinese numerals with their digits, operator words with their signs, the two title patterns.
-NUMERALS = {"零": "0", "一": "1", "二": "2", "两": "2", "三": "3", "四": "4", "五": "5", "六": "6", "七": "7", "八": "8", "九": "9"}
-TEN = {"十": "10"}
-OPERATORS = {"加": "+", "减": "-", "乘": "*", "除以": "/", "+": "+", "-": "-", "*": "*", "×": "*", "/": "/", "÷": "/"}
-_NUMBER = "([0-9]+|[零一二两三四五六七八九十])"
+# Chinese numerals with their digits, operator words with their signs.
+NUMERALS = {"零": "0", "一": "1", "二": "2", "三": "3", "四": "4", "五": "5", "六": "6", "七": "7", "八": "8", "九": "9", "十": "10"}
+OPERATORS = {"加": "+", "减": "-", "乘": "×", "除以": "÷"}
+#: What counts as a blank: White_Space and the four separators of ASCII.
+BLANK = r"[\t-\r\x1c-\x1f \x85\p{Z}]"
+_NUMBER = rf"(\p{{Nd}}+|[{''.join(NUMERALS)}])"
+#: Noncharacters of Unicode, which no text has: they bracket what was captured until it's replaced.
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
+
+
+def _once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c) with c evaluated once, however often use names it."""
+    return F.transform(F.array(c), use)[0]
+
+
+def _unbracketed(c: Column, words: dict[str, str]) -> Column:
+    for word, sign in words.items():
+        c = F.replace(c, F.lit(_OPEN + word + _CLOSE), F.lit(sign))
+    return F.translate(c, _OPEN + _CLOSE, "")
 
 
 def spoken_math(c: Column) -> Column:
     """Spoken arithmetic as symbols: 三分之二 -> 2/3, 3 加 五 -> 3+5. Words are rewritten only between two numbers.
 
-    A number is a run of digits or one numeral. Captured numerals are bracketed by private-use characters, so that only they are
-    replaced, and the brackets go last.
+    A number is a run of digits or one numeral; 分之 joins them without blanks, an operator also with. One pass from left to right
+    each: the last number of an operation isn't the first of another, so 3 加 五 减 1 becomes 3+5 减 1.
     """
-    opened, closed, op, end = "\ue000", "\ue001", "\ue002", "\ue003"
-    out = F.regexp_replace(c, rf"{_NUMBER}\s*分之\s*{_NUMBER}", f"{opened}$2{closed}/{opened}$1{closed}")
-    words = "|".join(re.escape(w) for w in sorted(OPERATORS, key=len, reverse=True))
-    number = f"({opened}[^{closed}]*{closed}|[0-9]+|[零一二两三四五六七八九十])"
-    for _ in range(2):  # the middle number of a chain belongs to two operations
-        out = F.regexp_replace(out, rf"{number}\s*({words})\s*(?={number})", f"{opened}$1{closed}{op}$2{end}")
-        out = F.regexp_replace(out, f"{end}{_NUMBER}", f"{end}{opened}$1{closed}")
-        out = F.regexp_replace(out, f"{opened}{opened}([^{closed}]*){closed}{closed}", f"{opened}$1{closed}")
-    for word, digit in {**NUMERALS, **TEN}.items():
-        out = F.replace(out, F.lit(opened + word + closed), F.lit(digit))
-    for word, sign in OPERATORS.items():
-        out = F.replace(out, F.lit(op + word + end), F.lit(sign))
-    return F.regexp_replace(out, f"[{opened}{closed}{op}{end}]", "")
+    part = lambda k: f"{_OPEN}${k}{_CLOSE}"
+    fraction, operation = f"{_NUMBER}分之{_NUMBER}", f"{_NUMBER}{BLANK}*({'|'.join(OPERATORS)}){BLANK}*{_NUMBER}"
+    out = F.when(F.contains(c, F.lit("分之")), _unbracketed(F.regexp_replace(c, fraction, f"{part(2)}/{part(1)}"), NUMERALS)).otherwise(c)
+    return _once(out, lambda x: F.when(F.rlike(x, F.lit(operation)), _unbracketed(F.regexp_replace(x, operation, part(1) + part(2) + part(3)), NUMERALS | OPERATORS)).otherwise(x))
 
 
 def plain(c: Column) -> Column:
     """spoken_math, lower case, without any blanks."""
-    return F.regexp_replace(F.lower(spoken_math(c)), r"(?U)\s", "")
+    return F.regexp_replace(F.lower(spoken_math(c)), BLANK, "")
 
 
 def bigrams(c: Column) -> Column:
     """Distinct neighbouring pairs of characters; one character is its own; '' has none, null gives null."""
-    n = F.length(c)
-    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(c, i, F.lit(2))))
-    return F.when(n >= 2, pairs).when(n == 1, F.array(c)).when(n == 0, F.array().cast("array<string>"))
+
+    def of(x: Column) -> Column:
+        n = F.length(x)
+        pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(x, i, F.lit(2))))
+        return F.when(n >= 2, pairs).when(n == 1, F.array(x)).when(n == 0, F.array().cast("array<string>"))
+
+    return _once(c, of)
 
 
 def summary(c: Column, most: int = 60) -> Column:

@@ -6,11 +6,13 @@ import heapq
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kgraph.operators.skew import hot_join, hot_keys
+from kgraph.functions.text import summary
+from kgraph.operators import hierarchy
+from kgraph.operators.skew import hot_join
 from kgraph.session import cut
 
 
@@ -32,6 +34,12 @@ class Graph:
             raise TopicNotFound(f"unknown topic ids: {', '.join(missing)}")
 
 
+def provenance_or_default(c: Column) -> Column:
+    """A missing provenance as method unknown, unreviewed, no confidence."""
+    lacking = F.struct(F.lit("unknown").alias("method"), F.lit("unreviewed").alias("review_status"), F.lit(None).cast("string").alias("reviewer"), F.lit(None).cast("string").alias("reviewed_at"), F.lit(0.0).alias("confidence"))
+    return F.coalesce(c, lacking)
+
+
 def latest(df: DataFrame, key: str, *order) -> DataFrame:
     """The first row a key in the given order; by pre-aggregation, so that a key of many rows is no window of its own."""
     rest = [c for c in df.columns if c != key]
@@ -82,7 +90,7 @@ def ancestors(g: Graph, starts: DataFrame, include_soft: bool = True) -> DataFra
 
 
 def kahn_order(steps: list[tuple[str, int]], links: list[tuple[str, str]]) -> tuple[list[str], bool]:
-    """Ids so that prerequisites come first, always the ready one of lowest (grade, id); what is on or behind a cycle comes last, by id."""
+    """Ids so that prerequisites come first, always the ready one of lowest (grade, id); what is on or behind a cycle comes last, in the same order."""
     grade = dict(steps)
     waits: dict[str, set[str]] = {i: set() for i in grade}
     after: dict[str, list[str]] = {i: [] for i in grade}
@@ -101,15 +109,15 @@ def kahn_order(steps: list[tuple[str, int]], links: list[tuple[str, str]]) -> tu
             open_[j] -= 1
             if open_[j] == 0:
                 heapq.heappush(ready, (grade[j], j))
-    rest = sorted(set(grade) - set(out))
+    rest = sorted(set(grade) - set(out), key=lambda i: (grade[i], i))
     return out + rest, bool(rest)
 
 
 def plan_path(g: Graph, target: str, known_ids: list[str] | None = None, include_soft: bool = True) -> tuple[DataFrame, list[str], bool]:
     """(steps, skipped_known, has_cycle): what is left to learn for the target, in order.
 
-    steps (step, id, name, grade_start, is_target). Known ids take away themselves and all upstream of them; an unknown id
-    is a TopicNotFound. The remaining closure of one target is ordered in one place, since the order is sequential.
+    steps (step, id, name, grade_start, grade_end, summary, provenance, revisits, is_target); revisits are the notes of `revisit_notes` in
+    their order. Known ids take away themselves and all upstream of them; an unknown id is a TopicNotFound. The remaining closure of one target is ordered in one place, since the order is sequential.
     """
     known_ids = known_ids or []
     g.require([target, *known_ids])
@@ -119,7 +127,7 @@ def plan_path(g: Graph, target: str, known_ids: list[str] | None = None, include
     have = ancestors(g, ids(known_ids), include_soft) if known_ids else ids([])
     left = cut(need.join(have, "id", "left_anti"))
     skipped = [r[0] for r in need.join(have, "id", "left_semi").orderBy("id").collect()]
-    rows = latest(g.topics.select("id", "name", "grade_start"), "id", "grade_start", "name").join(left, "id")
+    rows = latest(g.topics, "id", "grade_start", "name").join(left, "id")
     e = g.dependencies if include_soft else g.dependencies.where("strength <> 'soft'")
     inner = e.join(left.withColumnRenamed("id", "topic_id"), "topic_id", "left_semi").join(left.withColumnRenamed("id", "prerequisite_id"), "prerequisite_id", "left_semi")
     links = inner.groupBy("topic_id").agg(F.collect_set("prerequisite_id").alias("needs")).withColumnRenamed("topic_id", "id")
@@ -130,38 +138,35 @@ def plan_path(g: Graph, target: str, known_ids: list[str] | None = None, include
         at = {i: k + 1 for k, i in enumerate(done)}
         return pd.DataFrame({"step": part["id"].map(at).astype("int32"), "id": part["id"], "name": part["name"], "grade_start": part["grade_start"], "is_target": part["id"] == target, "has_cycle": cyclic})
 
-    steps = cut(rows.join(links, "id", "left").withColumn("plan", F.lit(1)).groupBy("plan").applyInPandas(order, "step int, id string, name string, grade_start int, is_target boolean, has_cycle boolean").orderBy("step"))
+    order_rows = rows.select("id", "name", "grade_start").join(links, "id", "left")
+    steps = cut(order_rows.withColumn("plan", F.lit(1)).groupBy("plan").applyInPandas(order, "step int, id string, name string, grade_start int, is_target boolean, has_cycle boolean").orderBy("step"))
     cyclic = steps.select("has_cycle").head()
-    return steps.drop("has_cycle"), skipped, bool(cyclic and cyclic[0])
-
+    notes = revisit_notes(g).join(left, "id").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "direction", "other_id", "other_name", "note"))).alias("revisits"))
+    cards = rows.select("id", "grade_end", summary(F.col("description")).alias("summary"), provenance_or_default(F.col("provenance")).alias("provenance"))
+    whole = steps.join(cards, "id").join(notes, "id", "left").withColumn("revisits", F.coalesce("revisits", F.array().cast(notes.schema["revisits"].dataType)))
+    return whole.select("step", "id", "name", "grade_start", "grade_end", "summary", "provenance", "revisits", "is_target").orderBy("step"), skipped, bool(cyclic and cyclic[0])
 
-def chain_lengths(g: Graph, most_rounds: int | None = None) -> DataFrame:
-    """(id, length): topics on the longest prerequisite chain that ends at id, over the nodes that no cycle is upstream of.
-
-    Rounds are as many as the longest chain has links; each sends on only lengths that grew.
-    """
-    from kgraph.operators.hierarchy import unprocessed
 
+def _known_links(g: Graph) -> DataFrame:
+    """(parent, child): links between topics, distinct, without those of a topic to itself."""
     ids = g.topics.select("id").distinct()
-    known = ids.withColumnRenamed("id", "parent")
     e = g.dependencies.select(F.col("prerequisite_id").alias("parent"), F.col("topic_id").alias("child")).where("parent <> child").distinct()
-    e = cut(hot_join(hot_join(e, known, ["parent"], "left_semi"), ids.withColumnRenamed("id", "child"), ["child"], "left_semi"))
-    odd = cut(unprocessed(e))
-    e = cut(hot_join(e, odd.withColumnRenamed("v", "child"), ["child"], "left_anti"))
-    best = cut(ids.join(odd.withColumnRenamed("v", "id"), "id", "left_anti").withColumn("length", F.lit(1)))
-    grew = best
-    e = e.withColumnRenamed("parent", "id")
-    hot = hot_keys(e, ["id"])
-    k = 0
-    while most_rounds is None or k < most_rounds:
-        k += 1
-        sent = hot_join(e, grew, ["id"], hot=hot).groupBy(F.col("child").alias("id")).agg((F.max("length") + 1).alias("more"))
-        now = cut(best.join(sent, "id", "left").select("id", F.greatest("length", F.coalesce("more", "length")).alias("length"), F.coalesce(F.col("more") > F.col("length"), F.lit(False)).alias("grew")))
-        grew = now.where("grew").select("id", "length")
-        best = now.select("id", "length")
-        if not grew.take(1):
-            break
-    return best
+    return cut(hot_join(hot_join(e, ids.withColumnRenamed("id", "parent"), ["parent"], "left_semi"), ids.withColumnRenamed("id", "child"), ["child"], "left_semi"))
+
+
+def chain_lengths(g: Graph) -> DataFrame:
+    """(id, length): topics on the longest prerequisite chain that ends at id, over the nodes that no cycle is upstream of."""
+    return hierarchy.chain_lengths(_known_links(g), g.topics.select("id"))[0].withColumnRenamed("v", "id")
+
+
+def longest_chain(g: Graph) -> DataFrame:
+    """(longest_chain, has_cycle): one row; the longest of `chain_lengths`, 0 without any, and whether topics require each other
+    or themselves."""
+    rows, odd = hierarchy.chain_lengths(_known_links(g), g.topics.select("id"))
+    known = g.topics.select(F.col("id").alias("topic_id")).distinct()
+    own = hot_join(g.dependencies.where("topic_id = prerequisite_id").select("topic_id"), known, ["topic_id"], "left_semi")
+    loops = odd.select("v").unionByName(own.select(F.col("topic_id").alias("v"))).agg((F.count("*") > 0).alias("has_cycle"))
+    return rows.agg(F.coalesce(F.max("length"), F.lit(0)).alias("longest_chain")).join(F.broadcast(loops))
 
 
 def revisit_notes(g: Graph) -> DataFrame:

@@ -30,39 +30,50 @@ def links(df: DataFrame, child: str, parent: str) -> DataFrame:
 
 
 def _tops(single: DataFrame) -> DataFrame:
-    """single (v, t): the one parent of v. (v, t, open): the nearest ancestor that isn't such a v itself; open where there
-    is none, which only happens on or behind a cycle of such nodes."""
+    """single (v, t): the one parent of v. (v, t, open, hops): the nearest ancestor that isn't such a v itself, and how many links
+    on it is; open where there is none, which only happens on or behind a cycle of such nodes."""
     spark = single.sparkSession
     known = single.select(F.col("v").alias("t"), F.lit(True).alias("go"))
-    j, n = cut_counting(hot_join(single, known, ["t"], "left").select("v", "t", F.coalesce("go", F.lit(False)).alias("open")), F.col("open"))
+    j, n = cut_counting(hot_join(single, known, ["t"], "left").select("v", "t", F.coalesce("go", F.lit(False)).alias("open"), F.lit(1).cast("long").alias("hops")), F.col("open"))
     left = None
     while n and n != left:
         left = n
         with rounds(spark, 2 * n):
             for _ in range(2 if n <= LEAST_HOT else 1):
-                step = j.select(F.col("v").alias("t"), F.col("t").alias("t2"), F.col("open").alias("o2"))
+                step = j.select(F.col("v").alias("t"), F.col("t").alias("t2"), F.col("open").alias("o2"), F.col("hops").alias("h2"))
                 # n rows can't hold a key of more rows than that
-                moved = hot_join(j.where("open"), step, ["t"], hot=[] if n <= LEAST_HOT else None).select("v", F.col("t2").alias("t"), F.col("o2").alias("open"))
+                moved = hot_join(j.where("open"), step, ["t"], hot=[] if n <= LEAST_HOT else None).select("v", F.col("t2").alias("t"), F.col("o2").alias("open"), (F.col("hops") + F.col("h2")).alias("hops"))
                 j = j.where("NOT open").unionByName(moved)
             j, n = cut_counting(j, F.col("open"))
     return j
 
 
+def contracted(e: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Links without self links -> the tops of nodes with one parent (`_tops`); the links (a, m, open, hops) into nodes m with several, each
+    from the top a of a parent, hops links above m; and how many these are. So long stretches of single parents are one link."""
+    kids = cut(e.groupBy("child").agg(F.count("*").alias("n"), F.min("parent").alias("t")))
+    tops = _tops(kids.where("n = 1").select(F.col("child").alias("v"), "t"))
+    several = hot_join(e, kids.where("n > 1").select("child"), ["child"], "left_semi")
+    up = hot_join(several.withColumnRenamed("parent", "v"), tops, ["v"], "left")
+    up = up.groupBy(F.coalesce("t", "v").alias("a"), F.col("child").alias("m")).agg(F.max(F.coalesce("open", F.lit(False))).alias("open"), (F.max(F.coalesce("hops", F.lit(0))) + 1).alias("hops"))
+    return tops, *cut_counting(up, F.lit(True))
+
+
 def unprocessed(e: DataFrame) -> DataFrame:
     """(v): nodes on a cycle or behind one, found as those that processing from the roots never reaches.
 
-    e are links without self links. Nodes with one parent take the state of their top (`_tops`); the others are processed in
+    e are links without self links. Nodes with one parent take the state of their top; the others are processed in
     waves, each wave once all their parents' tops are.
     """
-    kids = cut(e.groupBy("child").agg(F.count("*").alias("n"), F.min("parent").alias("t")))
-    tops = _tops(kids.where("n = 1").select(F.col("child").alias("v"), "t"))
-    several = hot_join(e, kids.where("n > 1").select("child"), ["child"], "left_semi")
-    up = hot_join(several.withColumnRenamed("parent", "v"), tops, ["v"], "left")
-    alive, n = cut_counting(up.select(F.coalesce("t", "v").alias("a"), F.col("child").alias("m"), F.coalesce("open", F.lit(False)).alias("open")).distinct(), F.lit(True))
+    return _unreached(*contracted(e))
+
+
+def _unreached(tops: DataFrame, alive: DataFrame, n: int) -> DataFrame:
+    alive = alive.select("a", "m", "open")
     left = None
     while n and n != left:
         left = n
-        with rounds(e.sparkSession, n):
+        with rounds(tops.sparkSession, n):
             hot = [] if n <= LEAST_HOT else hot_keys(alive, ["a"])
             for _ in range(2):  # two waves a checkpoint; more would double the plan each time
                 waits = alive.select(F.col("m").alias("a")).distinct().withColumn("waits", F.lit(True))
@@ -154,6 +165,32 @@ def cycles(df: DataFrame, child: str, parent: str) -> DataFrame:
     return _cycles(links(df, child, parent))[0]
 
 
+def chain_lengths(e: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((v, length), (v) left out): nodes on the longest chain of links that ends at v, for the nodes (one column) that are on no
+    cycle and below none. e (parent, child), distinct, without self links, between nodes.
+
+    Lengths pass over `contracted` links, so rounds grow with the depth of nodes with several parents, not with that of chains.
+    """
+    tops, up, n = contracted(e)
+    odd = cut(_unreached(tops, up, n))
+    bad = odd.withColumnRenamed("v", "m")
+    up, n = cut_counting(hot_join(up, bad, ["m"], "left_anti").select("a", "m", "hops"), F.lit(True))
+    # a top that isn't such an m is a root, of length 1
+    best = cut(up.groupBy(F.col("m").alias("v")).agg(F.max(F.col("hops") + 1).alias("length")))
+    grew = n
+    with rounds(e.sparkSession, n):
+        hot = [] if n <= LEAST_HOT else hot_keys(up, ["a"])
+        while grew:
+            sent = hot_join(up, best.withColumnRenamed("v", "a"), ["a"], hot=hot).groupBy(F.col("m").alias("v")).agg(F.max(F.col("length") + F.col("hops")).alias("more"))
+            now = best.join(sent, "v", "left").select("v", F.greatest("length", F.coalesce("more", "length")).alias("length"), F.coalesce(F.col("more") > F.col("length"), F.lit(False)).alias("grew"))
+            now, grew = cut_counting(now, F.col("grew"))
+            best = now.select("v", "length")
+    whole = nodes.toDF("v").distinct().join(odd, "v", "left_anti")
+    below = hot_join(tops.where("NOT open").select("v", "t", "hops"), best.select(F.col("v").alias("t"), "length"), ["t"], "left").select("v", (F.col("hops") + F.coalesce("length", F.lit(1))).alias("chained"))
+    rows = whole.join(best, "v", "left").join(below, "v", "left").select("v", F.coalesce("length", "chained", F.lit(1)).cast("int").alias("length"))
+    return rows, odd
+
+
 @dataclass(frozen=True)
 class Hierarchy:
     """links (parent, child), acyclic, with each cycle as one node; members (node, v, status): v stands for node in the links, the

@@ -7,13 +7,7 @@ from pyspark.sql import functions as F
 
 from kgraph.functions.scoring import LITERAL, Scorer, match_score, search_score, shared_grams
 from kgraph.functions.text import summary
-from kgraph.operators.graph import Graph, TopicNotFound, ranked
-
-
-def provenance_or_default(c: Column) -> Column:
-    """A missing provenance as method unknown, unreviewed, no confidence."""
-    lacking = F.struct(F.lit("unknown").alias("method"), F.lit("unreviewed").alias("review_status"), F.lit(None).cast("string").alias("reviewer"), F.lit(None).cast("string").alias("reviewed_at"), F.lit(0.0).alias("confidence"))
-    return F.coalesce(c, lacking)
+from kgraph.operators.graph import Graph, TopicNotFound, provenance_or_default, ranked
 
 
 def cards(topics: DataFrame, score: Column | None = None) -> DataFrame:

@@ -1,14 +1,17 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from kgraph.functions.text import bigrams, plain, spoken_math
 from kgraph.operators import curate, evaluate
-from kgraph.operators.graph import Graph, TopicNotFound, kahn_order, plan_path, prerequisites
+from kgraph.operators.graph import Graph, TopicNotFound, chain_lengths, kahn_order, longest_chain, plan_path, prerequisites
 from kgraph.operators.matching import greedy
 
 
 def graph(spark, links, topics="abcdef"):
     t = spark.createDataFrame([(c, f"name {c}", i % 3 + 1) for i, c in enumerate(topics)], "id string, name string, grade_start int")
+    t = t.selectExpr("*", "grade_start + 1 AS grade_end", "repeat(id, 70) AS description", "CAST(NULL AS struct<method:string,review_status:string,reviewer:string,reviewed_at:string,confidence:double>) AS provenance")
     d = spark.createDataFrame([(i, *x) for i, x in enumerate(links)], "ordinal bigint, topic_id string, prerequisite_id string, strength string, reason string")
     return Graph(t, d, spark.createDataFrame([], "ordinal bigint, earlier_id string, later_id string, note string"))
 
@@ -26,12 +29,18 @@ def test_plan(spark):
     g = graph(spark, [("a", "b", "hard", ""), ("b", "c", "hard", ""), ("a", "d", "soft", ""), ("e", "f", "hard", ""), ("f", "e", "hard", "")])
     steps, skipped, cyclic = plan_path(g, "a", ["c"])
     assert [r["id"] for r in steps.collect()] == ["d", "b", "a"] and skipped == ["c"] and not cyclic
+    first = steps.first()
+    assert first["grade_end"] == first["grade_start"] + 1 and first["summary"].endswith("…") and first["provenance"]["review_status"] == "unreviewed" and first["revisits"] == []
+    notes = Graph(g.topics, g.dependencies, spark.createDataFrame([(2, "a", "f", "later"), (1, "b", "a", "x"), (3, "a", "zz", "lost")], "ordinal bigint, earlier_id string, later_id string, note string"))
+    got = {r["id"]: [(n["direction"], n["other_id"]) for n in r["revisits"]] for r in plan_path(notes, "a", ["c"])[0].collect()}
+    assert got == {"d": [], "b": [("later", "a")], "a": [("earlier", "b"), ("later", "f")]}
     assert plan_path(g, "e")[2]
     with pytest.raises(TopicNotFound):
         plan_path(g, "a", ["nope"])
 
 
 def test_order_puts_cycles_last():
+    assert kahn_order([("a", 2), ("b", 1), ("c", 3)], [("a", "b"), ("b", "a"), ("c", "a")]) == (["b", "a", "c"], True)
     assert kahn_order([("a", 1), ("b", 1), ("c", 2), ("x", 1)], [("a", "b"), ("b", "a"), ("x", "c")]) == (["c", "x", "a", "b"], True)
 
 
@@ -50,10 +59,34 @@ def test_greedy_equals_sequential(spark):
     assert {(r["l"], r["r"]) for r in greedy(df, "l", "r", [F.negative("s").alias("o"), F.col("l").alias("i"), F.col("r").alias("j")]).collect()} == want
 
 
+def spoken(text):
+    """The plain statement of the two passes."""
+    digits = dict(zip("零一二三四五六七八九十", [*"0123456789", "10"], strict=True))
+    signs = {"加": "+", "减": "-", "乘": "×", "除以": "÷"}
+    n = r"(\d+|[零一二三四五六七八九十])"
+    d = lambda x: digits.get(x, x)
+    text = re.sub(n + "分之" + n, lambda m: d(m[2]) + "/" + d(m[1]), text)
+    return re.sub(n + r"\s*(加|减|乘|除以)\s*" + n, lambda m: d(m[1]) + signs[m[2]] + d(m[3]), text)
+
+
 def test_text(spark):
-    rows = spark.createDataFrame([("三分之二",), ("3 加 五 减 1",), ("加法",), ("A　b",), ("",), (None,)], "t string")
-    assert [r[0] for r in rows.select(spoken_math(F.col("t"))).collect()] == ["2/3", "3+5-1", "加法", "A　b", "", None]
-    assert [r[0] for r in rows.select(bigrams(plain(F.col("t")))).collect()] == [["2/", "/3"], ["3+", "+5", "5-", "-1"], ["加法"], ["ab"], [], None]
+    texts = ["三分之二", "3 加 五 减 1", "加法", "A　b", "", "6×2", "3÷4", "3/4", "3乘4", "12除以四", "两加三", "三 分之二", "十分之一比12分之5小", "九加 ２", "1\x1c加\x1d二", "七减三加二", "\ue000三\ue001"]
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    assert [r[0] for r in rows.select(spoken_math(F.col("t"))).collect()] == [*map(spoken, texts), None]
+    got = [r[0] for r in rows.select(plain(F.col("t"))).collect()]
+    assert got == [*("".join(ch for ch in spoken(t).lower() if not ch.isspace()) for t in texts), None] and got[1] == "3+5减1"
+    assert [r[0] for r in rows.select(bigrams(plain(F.col("t")))).collect()][:5] == [["2/", "/3"], ["3+", "+5", "5减", "减1"], ["加法"], ["ab"], []]
+
+
+def test_longest_chain(spark):
+    g = graph(spark, [("b", "a", "hard", ""), ("c", "b", "hard", ""), ("d", "c", "hard", ""), ("d", "a", "soft", ""), ("e", "d", "hard", ""), ("e", "a", "hard", "")])
+    assert {tuple(r) for r in chain_lengths(g).collect()} == {("a", 1), ("b", 2), ("c", 3), ("d", 4), ("e", 5), ("f", 1)}
+    assert tuple(longest_chain(g).first()) == (5, False)
+    g = graph(spark, [("a", "b", "hard", ""), ("b", "a", "hard", ""), ("c", "a", "hard", ""), ("e", "d", "hard", "")])
+    assert {tuple(r) for r in chain_lengths(g).collect()} == {("d", 1), ("e", 2), ("f", 1)}
+    assert tuple(longest_chain(g).first()) == (2, True)
+    assert tuple(longest_chain(graph(spark, [("a", "a", "hard", "")])).first()) == (1, True)
+    assert tuple(longest_chain(graph(spark, [], topics="")).first()) == (0, False)
 
 
 def test_chunks_conserve_paragraphs(spark):
