@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kgraph import schema as S
-from kgraph.functions.scoring import CLAIM_LEAST, claim_score, match_score, shared_share
+from kgraph.functions.scoring import CLAIM_DESCRIPTION, CLAIM_LEAST, CLAIM_NAME, claim_score, shared_share
 from kgraph.functions.text import bigrams, body_of, code_of, containment, folded_name, padded, paragraphs, plain, summary, topic_id
 from kgraph.hooks import PROGRAMMING, mapped
 from kgraph.operators.matching import greedy
+from kgraph.operators.order import before
+from kgraph.operators.skew import hot_join, hot_keys
 from kgraph.session import BROADCAST_BYTES, cut, small_or_plain
 
 # Reasons of drops.
@@ -107,16 +109,11 @@ def duplicate_pairs(drafts: DataFrame) -> DataFrame:
 def prerequisite_counts(topics: DataFrame, gap: int = GRADE_GAP) -> DataFrame:
     """(id, candidates): how many prerequisites each topic may be offered: other topics of the same first grade with a
     smaller id, or of a grade up to `gap` lower. Counted, not paired: grade totals plus the rank of an id in its grade.
-
-    The rank is a prefix sum over short id prefixes and a rank within each, so a grade of a third of the rows is spread.
     """
-    d = topics.select("id", F.col("grade_start").alias("g")).where("id IS NOT NULL AND g IS NOT NULL").distinct().withColumn("bucket", F.substring("id", 1, 4))
-    buckets = d.groupBy("g", "bucket").agg(F.count("*").alias("n"))
-    before = buckets.withColumn("earlier", F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    total = buckets.groupBy("g").agg(F.sum("n").alias("n"))
+    d = topics.select("id", F.col("grade_start").alias("g")).where("id IS NOT NULL AND g IS NOT NULL").distinct().withColumn("one", F.lit(1))
+    total = d.groupBy("g").agg(F.count("*").alias("n"))
     lower = total.select(F.explode(F.sequence(F.col("g") + 1, F.col("g") + gap)).alias("g"), "n").groupBy("g").agg(F.sum("n").alias("lower"))
-    rank = F.row_number().over(Window.partitionBy("g", "bucket").orderBy("id")) - 1
-    return d.withColumn("r", rank).join(before, ["g", "bucket"]).join(F.broadcast(lower), "g", "left").select("id", (F.col("r") + F.col("earlier") + F.coalesce("lower", F.lit(0))).alias("candidates"))
+    return hot_join(before(d, ["g"], ["id"], "one"), lower, ["g"], "left").select("id", (F.col("before") + F.coalesce("lower", F.lit(0))).alias("candidates"))
 
 
 def prerequisite_pairs(targets: DataFrame, pool: DataFrame, gap: int = GRADE_GAP) -> DataFrame:
@@ -126,12 +123,17 @@ def prerequisite_pairs(targets: DataFrame, pool: DataFrame, gap: int = GRADE_GAP
     return t.join(p, "g").where("prerequisite_id <> target_id AND (g < tg OR prerequisite_id < target_id)").select("target_id", "prerequisite_id")
 
 
+def _parted(edges: DataFrame, known: DataFrame, end: str) -> tuple[DataFrame, DataFrame]:
+    """(edges whose end isn't known, those whose is); an end may hold a third of all edges."""
+    hot = hot_keys(edges, [end])
+    return tuple(hot_join(edges, known, [end], how, hot).select(*edges.columns) for how in ("left_anti", "left_semi"))
+
+
 def checked_edges(edges: DataFrame, drafts: DataFrame, pool: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """edges (target_draft_id, prerequisite_draft_id, ...) -> (kept, drops): unknown prerequisites, then known ones that weren't
     candidates (the target itself, or, with a pool (target_draft_id, prerequisite_draft_id), what isn't in it)."""
     known = drafts.select(F.col("draft_id").alias("prerequisite_draft_id")).distinct()
-    bad = edges.join(known, "prerequisite_draft_id", "left_anti")
-    ok = edges.join(known, "prerequisite_draft_id", "left_semi")
+    bad, ok = _parted(edges, known, "prerequisite_draft_id")
     own = ok.where("target_draft_id = prerequisite_draft_id")
     rest = ok.where("target_draft_id <> prerequisite_draft_id")
     if pool is not None:
@@ -237,10 +239,8 @@ def judged_edges(edges: DataFrame, drafts: DataFrame, judges, parallel: int | No
 def reviewed_edges(edges: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges between kept drafts, drops): a rejected target drops the edge, else a rejected prerequisite does."""
     ids = kept.select("draft_id").distinct()
-    t = edges.join(ids.withColumnRenamed("draft_id", "target_draft_id"), "target_draft_id", "left_anti")
-    rest = edges.join(ids.withColumnRenamed("draft_id", "target_draft_id"), "target_draft_id", "left_semi")
-    p = rest.join(ids.withColumnRenamed("draft_id", "prerequisite_draft_id"), "prerequisite_draft_id", "left_anti")
-    ok = rest.join(ids.withColumnRenamed("draft_id", "prerequisite_draft_id"), "prerequisite_draft_id", "left_semi")
+    t, rest = _parted(edges, ids.withColumnRenamed("draft_id", "target_draft_id"), "target_draft_id")
+    p, ok = _parted(rest, ids.withColumnRenamed("draft_id", "prerequisite_draft_id"), "prerequisite_draft_id")
     drop = lambda d, why: drop_rows(d, "review", F.concat_ws("<-", "target_draft_id", "prerequisite_draft_id"), why, F.coalesce("prerequisite_draft_id", F.lit("")))
     return ok, drop(t, EDGE_TARGET_REJECTED).unionByName(drop(p, EDGE_PREREQUISITE_REJECTED))
 
@@ -248,10 +248,9 @@ def reviewed_edges(edges: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFr
 def resolved_edges(edges: DataFrame, drafts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges whose ends are drafts, drops): one drop an unknown target, one an edge of an unknown prerequisite."""
     ids = drafts.select("draft_id").distinct()
-    lost = edges.join(ids.withColumnRenamed("draft_id", "target_draft_id"), "target_draft_id", "left_anti").select("target_draft_id").distinct()
-    rest = edges.join(ids.withColumnRenamed("draft_id", "target_draft_id"), "target_draft_id", "left_semi")
-    bad = rest.join(ids.withColumnRenamed("draft_id", "prerequisite_draft_id"), "prerequisite_draft_id", "left_anti")
-    ok = rest.join(ids.withColumnRenamed("draft_id", "prerequisite_draft_id"), "prerequisite_draft_id", "left_semi")
+    lost, rest = _parted(edges, ids.withColumnRenamed("draft_id", "target_draft_id"), "target_draft_id")
+    lost = lost.select("target_draft_id").distinct()
+    bad, ok = _parted(rest, ids.withColumnRenamed("draft_id", "prerequisite_draft_id"), "prerequisite_draft_id")
     drops = drop_rows(lost, "review", F.col("target_draft_id"), UNKNOWN_REVIEW_TARGET, F.lit("")).unionByName(drop_rows(bad, "review", F.concat_ws("<-", "target_draft_id", "prerequisite_draft_id"), UNKNOWN_EDGE_PREREQUISITE, F.coalesce("prerequisite_draft_id", F.lit(""))))
     return ok, drops
 
@@ -274,18 +273,24 @@ def single_edges(edges: DataFrame, target: str, prerequisite: str, strength: str
 
 
 def claims(topics: DataFrame, entries: DataFrame, least: float = CLAIM_LEAST) -> DataFrame:
-    """(id, entry_id, score): entries of the same domain with overlapping grades and a score of at least `least`.
+    """(id, entry_id, score): entries of the same domain with overlapping grades and a score of at least `least`, once a pair.
 
-    Only pairs that share a bigram of the name or description can score, and each side's forms are made once. Entries
-    are broadcast only while they fit the bound.
+    A pair without a common bigram in its names can't reach the threshold with any description, so pairs come from an equi-join on
+    (domain, bigram of the name), each side's forms made once; shared bigrams are counted before the shuffle, and only pairs whose
+    names score enough meet their descriptions. Entries are broadcast only while they fit the bound. Repeated rows of an entry count once, rows that
+    differ each by themselves, and the best score of a pair stays.
     """
-    e = entries.select(F.col("id").alias("entry_id"), "domain", F.col("grade_start").alias("es"), F.coalesce("grade_end", F.lit(9)).alias("ee"), bigrams(plain(F.col("name"))).alias("en"), bigrams(plain(F.coalesce("description", F.lit("")))).alias("ed")).distinct()
-    t = topics.select("id", "domain", F.col("grade_start").alias("ts"), F.coalesce("grade_end", "grade_start").alias("te"), bigrams(plain(F.col("name"))).alias("tn"), bigrams(plain(F.coalesce("description", F.lit("")))).alias("td"))
-    d = t.join(small_or_plain(e, 2000, BROADCAST_BYTES), "domain").where("ts <= ee AND es <= te")
-    name = shared_share(F.col("tn"), F.col("en"))
+    side = lambda d, key, end: d.select(F.col(key).alias("k"), "domain", F.col("grade_start").alias("a"), end.alias("b"), bigrams(plain(F.col("name"))).alias("n"), bigrams(plain(F.coalesce("description", F.lit("")))).alias("d")).where("k IS NOT NULL AND domain IS NOT NULL AND size(n) > 0").distinct()
+    t = cut(side(topics, "id", F.coalesce("grade_end", "grade_start")).withColumn("row", F.xxhash64("k", "domain", "a", "b", "n", "d")))
+    e = cut(side(entries, "id", F.coalesce("grade_end", F.lit(9))).withColumn("row", F.xxhash64("k", "domain", "a", "b", "n", "d")))
+    grams = lambda d, p: d.select("domain", F.col("row").alias(p), F.col("a").alias(f"{p}a"), F.col("b").alias(f"{p}b"), F.size("n").alias(f"{p}n"), F.explode("n").alias("gram"))
+    met = grams(t, "t").join(small_or_plain(grams(e, "e"), 60, BROADCAST_BYTES), ["domain", "gram"]).where("ta <= eb AND ea <= tb")
+    named = met.groupBy("t", "e").agg((F.count("*") / F.least(F.first("tn"), F.first("en"))).alias("name"))
     # a name score below this can't reach the threshold with any description
-    d = d.withColumn("_n", name).where(F.col("_n") >= (least - 0.3) / 0.7 - 1e-9)
-    return d.select("id", "entry_id", claim_score(F.col("_n"), shared_share(F.col("td"), F.col("ed"))).alias("score")).where(F.col("score") >= least)
+    named = named.where(F.col("name") >= (least - CLAIM_DESCRIPTION) / CLAIM_NAME - 1e-9)
+    d = named.join(t.select(F.col("row").alias("t"), F.col("k").alias("id"), F.col("d").alias("td")), "t").join(small_or_plain(e.select(F.col("row").alias("e"), F.col("k").alias("entry_id"), F.col("d").alias("ed")), 2000, BROADCAST_BYTES), "e")
+    scored = d.select("id", "entry_id", claim_score(F.col("name"), shared_share(F.col("td"), F.col("ed"))).alias("score")).where(F.col("score") >= least)
+    return scored.groupBy("id", "entry_id").agg(F.max("score").alias("score"))
 
 
 def assigned(topics: DataFrame, entries: DataFrame, least: float = CLAIM_LEAST) -> tuple[DataFrame, DataFrame]:
@@ -411,20 +416,27 @@ def unclashed(drafts: DataFrame, most_rounds: int = 10) -> tuple[DataFrame, Data
     return d, drops
 
 
-def retention(before: DataFrame, after: DataFrame, thresholds: list[float]) -> DataFrame:
-    """(threshold, statements, verbatim, matched, lost): misconceptions of topics in both snapshots, matched one to one.
+def retention(earlier: DataFrame, later: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(threshold, statements, verbatim, matched, lost, added, hollowed, renamed, median_score): how misconceptions of topics in both snapshots
+    are matched one to one, by their statements alone.
 
-    before and after have id and misconceptions. Pairs are scored once; a statement meets only those of its own topic.
+    earlier and later have id, name and misconceptions, one row an id. Pairs are scored once for all thresholds; a statement meets only those of its own
+    topic. verbatim: matched and equal in plain form. added: of the later snapshot, unmatched. hollowed: topics that had statements and
+    keep none. renamed: topics of another name. median_score is of the matched, 0 without any.
     """
-    rows = lambda d, p: d.select("id", F.posexplode("misconceptions").alias(f"{p}_pos", "m")).select("id", f"{p}_pos", *[bigrams(plain(F.coalesce(F.col(f"m.{f}"), F.lit("")))).alias(f"{p}_{f}") for f in ("statement", "probe", "correction_hint")], plain(F.coalesce(F.col("m.statement"), F.lit(""))).alias(f"{p}_key"))
-    both = before.select("id").distinct().join(after.select("id").distinct(), "id", "left_semi")
-    a, b = rows(before, "a").join(both, "id", "left_semi"), rows(after, "b").join(both, "id", "left_semi")
-    rel = lambda f: shared_share(F.col(f"a_{f}"), F.col(f"b_{f}"))
-    scored = cut(a.join(b, "id").withColumn("score", match_score(rel("statement"), rel("probe"), rel("correction_hint"))).select("id", "a_pos", "b_pos", "score", (F.col("a_key") == F.col("b_key")).alias("verbatim")).where("score > 0"))
-    total = a.agg(F.count("*").alias("statements"))
+    both = cut(earlier.select("id", F.col("name").alias("n1"), F.col("misconceptions").alias("m1")).join(later.select("id", F.col("name").alias("n2"), F.col("misconceptions").alias("m2")), "id"))
+    rows = lambda p: both.select("id", F.posexplode(f"m{p}").alias("pos", "m")).select("id", F.col("pos").alias(f"pos{p}"), plain(F.coalesce("m.statement", F.lit(""))).alias(f"key{p}"))
+    grams = lambda p: rows(p).withColumn(f"g{p}", bigrams(F.col(f"key{p}")))
+    scored = grams(1).join(grams(2), "id").withColumn("score", shared_share(F.col("g1"), F.col("g2")))
+    scored = cut(scored.select("id", "pos1", "pos2", "score", (F.col("key1") == F.col("key2")).alias("verbatim")).where(F.col("score") >= min(thresholds, default=1.0)))
+    size = lambda c: F.coalesce(F.greatest(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    had = both.where(size("m1") > 0)
+    whole = both.agg(F.coalesce(F.sum(size("m1")), F.lit(0)).alias("statements"), F.coalesce(F.sum(size("m2")), F.lit(0)).alias("later"), F.count_if(~F.col("n1").eqNullSafe(F.col("n2"))).alias("renamed"), F.count_if(size("m1") > 0).alias("full"))
     out = None
     for t in thresholds:
-        m = greedy(scored.where(F.col("score") >= t).withColumns({"l": F.concat_ws("#", "id", "a_pos"), "r": F.concat_ws("#", "id", "b_pos")}), "l", "r", [F.negative("score").alias("s"), F.col("id").alias("i"), F.col("a_pos").alias("x"), F.col("b_pos").alias("y")])
-        one = m.agg(F.count_if("verbatim").alias("verbatim"), F.count("*").alias("matched")).join(F.broadcast(total)).select(F.lit(t).alias("threshold"), "statements", "verbatim", "matched", (F.col("statements") - F.col("matched")).alias("lost"))
+        m = greedy(scored.where(F.col("score") >= t).withColumns({"l": F.struct("id", "pos1"), "r": F.struct("id", "pos2")}), "l", "r", [F.negative("score").alias("s"), F.col("id").alias("i"), F.col("pos1").alias("x"), F.col("pos2").alias("y")])
+        kept = m.select("id").distinct().join(had.select("id"), "id").agg(F.count("*").alias("kept"))
+        one = m.agg(F.count_if("verbatim").alias("verbatim"), F.count("*").alias("matched"), F.coalesce(F.percentile("score", 0.5), F.lit(0.0)).alias("median_score")).join(F.broadcast(whole)).join(F.broadcast(kept))
+        one = one.select(F.lit(t).alias("threshold"), "statements", "verbatim", "matched", (F.col("statements") - F.col("matched")).alias("lost"), (F.col("later") - F.col("matched")).alias("added"), (F.col("full") - F.col("kept")).alias("hollowed"), "renamed", "median_score")
         out = one if out is None else out.unionByName(one)
     return out

@@ -6,9 +6,9 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from kgraph.operators.graph import ranked
+from kgraph.operators.order import before
 
 
 def threshold_range(start: float, stop: float, step: float) -> list[float]:
@@ -67,15 +67,36 @@ def class_scores(df: DataFrame, expected: str, got: str) -> DataFrame:
 def latency_levels(df: DataFrame, level: str, value: str) -> DataFrame:
     """(level, requests, p50, p95): the interpolated median, and the nearest-rank 95th percentile.
 
-    Exact order statistics by Spark's counted percentiles: values are combined with their counts before the shuffle.
+    Exact order statistics: values are combined with their counts before the shuffle, and ranks are running sums over ranges of
+    values, so a level of a third of all rows is spread.
     """
     n = df.where(F.col(value).isNotNull()).groupBy(level, value).agg(F.count("*").alias("n"))
     total = n.groupBy(level).agg(F.sum("n").alias("requests"))
-    run = n.withColumn("upto", F.sum("n").over(Window.partitionBy(level).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    d = run.join(total, level)
+    d = before(n, [level], [value], "n").join(total, level)
     at = F.greatest(F.lit(1), F.least(F.col("requests"), F.bround(F.lit(0.95) * F.col("requests") + F.lit(0.5)).cast("long")))
-    low, high = ((F.col("requests") + 1) / 2).cast("long"), (F.col("requests") / 2 + 1).cast("long")
-    return d.groupBy(level).agg(F.first("requests").alias("requests"), ((F.min(F.when(F.col("upto") >= low, F.col(value))) + F.min(F.when(F.col("upto") >= F.least(high, F.col("requests")), F.col(value)))) / 2).alias("p50"), F.min(F.when(F.col("upto") >= at, F.col(value))).alias("p95"))
+    low, high = F.expr("(requests + 1) div 2"), F.expr("least(requests, requests div 2 + 1)")
+    holds = lambda rank: F.min(F.when((F.col("before") < rank) & (rank <= F.col("before") + F.col("n")), F.col(value)))
+    return d.groupBy(level).agg(F.first("requests").alias("requests"), ((holds(low) + holds(high)) / 2).alias("p50"), holds(at).alias("p95"))
+
+
+def level_results(calls: DataFrame, level: str) -> DataFrame:
+    """(level, requests, ok, rate_limited, failed, wall, throughput, p50, p95, peak) of measured calls.
+
+    calls (level, started, ended, status, error); started and ended in seconds. A call without status and error is ok, one with status 429 or an error that
+    says so is rate-limited, any other failed; the three add up. Throughput counts ok calls only; percentiles are of their
+    durations, 0 without any; wall is from the first start to the last end. peak is the largest number of calls under way at once: one
+    that ends when another starts is over.
+    """
+    limited = is_rate_limited(F.col("status"), F.col("error"))
+    d = calls.withColumn("_how", F.when(limited, "limited").when(F.col("status").isNull() & F.col("error").isNull(), "ok").otherwise("failed"))
+    n = d.groupBy(level).agg(F.count("*").alias("requests"), F.count_if(F.col("_how") == "ok").alias("ok"), F.count_if(limited).alias("rate_limited"), F.count_if(F.col("_how") == "failed").alias("failed"), (F.max("ended") - F.min("started")).alias("wall"))
+    took = latency_levels(d.where("_how = 'ok'").withColumn("_took", F.col("ended") - F.col("started")), level, "_took").drop("requests")
+    steps = F.array(F.struct(F.col("started").alias("at"), F.lit(1).alias("turn")), F.struct(F.col("ended").alias("at"), F.lit(-1).alias("turn")))
+    moves = d.where("started < ended").select(level, F.inline(steps)).groupBy(level, "at", "turn").agg(F.sum("turn").alias("by"))
+    peak = before(moves, [level], ["at", "turn"], "by").groupBy(level).agg(F.max(F.col("before") + F.col("by")).alias("peak"))
+    out = n.join(took, level, "left").join(peak, level, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return out.select(level, "requests", "ok", "rate_limited", "failed", "wall", F.when(F.col("wall") > 0, F.col("ok") / F.col("wall")).otherwise(F.lit(0.0)).alias("throughput"), zero("p50").alias("p50"), zero("p95").alias("p95"), F.coalesce("peak", F.lit(0)).alias("peak"))
 
 
 def recommended_level(levels: DataFrame, share: float = 0.95) -> int:

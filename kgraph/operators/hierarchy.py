@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kgraph.operators.order import before
 from kgraph.operators.skew import LEAST_HOT, hot_join, hot_keys
 from kgraph.session import cut, cut_counting, rounds
 
@@ -191,6 +192,40 @@ def chain_lengths(e: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]
     return rows, odd
 
 
+def cycle_paths(df: DataFrame, child: str, parent: str, members: DataFrame) -> DataFrame:
+    """(cycle_id, path): of every set of `cycles` (members) one cycle, as an array of ids from parent to child, from its smallest id on.
+
+    Each node goes on to its smallest child within the set; whoever follows that has to come round. What is left of a set after more
+    steps than it has nodes is on such a cycle; of these the one with the smallest id is taken. Steps are doubled.
+    """
+    m = members.select("cycle_id", F.col("node").alias("v"))
+    e = links(df, child, parent)
+    inner = hot_join(hot_join(e.withColumnRenamed("parent", "v"), m, ["v"]).withColumnsRenamed({"v": "parent", "child": "v", "cycle_id": "c"}), m, ["v"]).where("c = cycle_id")
+    step, n = cut_counting(inner.groupBy("cycle_id", F.col("parent").alias("v")).agg(F.min("v").alias("next")), F.lit(True))
+    far, k = step.select("v", F.col("next").alias("t")), 1
+    with rounds(df.sparkSession, n):
+        while k <= n:
+            up = far.select(F.col("v").alias("t"), F.col("t").alias("t2"))
+            far, k = cut(hot_join(far, up, ["t"], hot=[] if n <= LEAST_HOT else None).select("v", F.col("t2").alias("t"))), 2 * k
+    on = cut(hot_join(step, far.select(F.col("t").alias("v")).distinct(), ["v"], "left_semi"))
+    # the smallest id of every such cycle, by doubling once more; one with its own smallest id is a start
+    seen, k = cut(on.select("cycle_id", "v", F.col("next").alias("t"), F.least("v", "next").alias("low"))), 1
+    with rounds(df.sparkSession, n):
+        while k <= n:
+            up = seen.select(F.col("v").alias("t"), F.col("t").alias("t2"), F.col("low").alias("low2"))
+            seen, k = cut(seen.join(up, "t").select("cycle_id", "v", F.col("t2").alias("t"), F.least("low", "low2").alias("low"))), 2 * k
+        start = seen.groupBy("cycle_id").agg(F.min("low").alias("low"))
+        mine = cut(seen.join(start, ["cycle_id", "low"]).select("cycle_id", "low", "v").join(on.select("v", "next"), "v"))
+        # the way back to the start as arrays; a start's own is the whole way round
+        w = mine.select("cycle_id", "low", "v", F.when(F.col("next") != F.col("low"), F.col("next")).alias("j"), F.array("v").alias("path"))
+        w, open_ = cut_counting(w, F.col("j").isNotNull())
+        while open_:
+            up = w.select(F.col("v").alias("j"), F.col("j").alias("j2"), F.col("path").alias("more"))
+            w2 = w.join(up, "j", "left").select("cycle_id", "low", "v", F.col("j2").alias("j"), F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("path", "more")).alias("path"))
+            w, open_ = cut_counting(w2, F.col("j").isNotNull())
+    return w.where("v = low").select("cycle_id", "path")
+
+
 @dataclass(frozen=True)
 class Hierarchy:
     """links (parent, child), acyclic, with each cycle as one node; members (node, v, status): v stands for node in the links, the
@@ -210,8 +245,7 @@ def _forest(tree: DataFrame) -> DataFrame:
     """tree (v, p, weight), p null at a root -> the sets of a `Hierarchy`. Siblings are in the order of their ids.
 
     Sizes go upward: the nodes within distance 2^k below v are summed from the 2^k-th ancestors. Offsets are prefix sums of
-    siblings' sizes, then summed downward by doubling. Prefix sums run within range partitions of (parent, id) and over the few
-    totals that a parent has a partition, so a parent of a third of all nodes is spread over many tasks.
+    siblings' sizes (`order.before`), then summed downward by doubling.
     """
     spark = tree.sparkSession
     s, n = cut_counting(tree.select("v", F.col("p").alias("j"), F.col("weight").cast("long").alias("size")), F.lit(True))
@@ -222,17 +256,11 @@ def _forest(tree: DataFrame) -> DataFrame:
             up = s.select(F.col("v").alias("j"), F.col("j").alias("j2"))
             s2 = hot_join(s, up, ["j"], "left", hot=[] if rows <= LEAST_HOT else None).select("v", F.col("j2").alias("j"), "size")
             s, open_ = cut_counting(s2.join(below, "v", "left").select("v", "j", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), F.col("j").isNotNull())
-    # the partition of a row is kept, since another run's ranges could differ
-    sized = cut(tree.join(s.select("v", "size"), "v").repartitionByRange("p", "v").withColumn("part", F.spark_partition_id()))
-    earlier = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = sized.groupBy("p", "part").agg(F.sum("size").alias("t"))
-    before = totals.select(F.col("p").alias("p2"), F.col("part").alias("part2"), earlier(Window.partitionBy("p").orderBy("part"), "t").alias("earlier"))
-    inside = earlier(Window.partitionBy("p", "part").orderBy("v"), "size")
-    placed = sized.withColumn("inside", inside).join(before, F.col("p").eqNullSafe(F.col("p2")) & (F.col("part") == F.col("part2")))
+    placed = before(tree.join(s.select("v", "size"), "v"), ["p"], ["v"], "size")
     # below its parent, a node's offset is its parent's own positions and all earlier siblings' sizes
     own = tree.select(F.col("v").alias("p"), F.col("weight").alias("above"))
-    placed = hot_join(placed.drop("p2", "part2"), own, ["p"], "left")
-    w, open_ = cut_counting(placed.select("v", "p", "size", "weight", F.col("p").alias("j"), (F.col("earlier") + F.col("inside") + F.coalesce("above", F.lit(1))).alias("lft"), F.array("v").alias("path")), F.col("j").isNotNull())
+    placed = hot_join(placed, own, ["p"], "left")
+    w, open_ = cut_counting(placed.select("v", "p", "size", "weight", F.col("p").alias("j"), (F.col("before") + F.coalesce("above", F.lit(1))).alias("lft"), F.array("v").alias("path")), F.col("j").isNotNull())
     with rounds(spark, rows):
         while open_:
             up = w.select(F.col("v").alias("j"), F.col("j").alias("j2"), F.col("lft").alias("l2"), F.col("path").alias("s2"))

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgraph.operators.graph import Graph
-from kgraph.operators.hierarchy import cycles
+from kgraph.operators.hierarchy import cycle_paths, cycles
 from kgraph.operators.serve import isolated
+from kgraph.operators.skew import hot_join
+from kgraph.session import cut
 
 COVERAGE_LEAST = 0.9
 
@@ -60,9 +62,16 @@ def coverage(topics: DataFrame) -> DataFrame:
     return d.where("topics > 0").withColumn("ratio", F.col("aligned") / F.col("topics"))
 
 
-def low_coverage(g: Graph) -> DataFrame:
+def unaligned(topics: DataFrame) -> DataFrame:
+    """(id): topics without a standard."""
+    return topics.where(F.size(F.coalesce("standards", F.array())) == 0).select("id")
+
+
+def low_coverage(g: Graph, listed: int = 1000) -> DataFrame:
+    """A finding if too few topics have a standard, with the first `listed` of those that have none by id; `unaligned` gives them all."""
     bad = coverage(g.topics).where(F.col("ratio") < COVERAGE_LEAST)
-    return _finding(bad, "LOW_STANDARDS_COVERAGE", "error", F.format_string("%d of %d topics have a standard", "aligned", "topics"), topics=F.col("topics"), aligned=F.col("aligned"))
+    first = unaligned(g.topics).where("id IS NOT NULL").orderBy("id").limit(listed).agg(F.concat_ws(",", F.sort_array(F.collect_list("id"))).alias("ids"))
+    return _finding(bad.join(F.broadcast(first)), "LOW_STANDARDS_COVERAGE", "error", F.format_string("%d of %d topics have a standard", "aligned", "topics"), topics=F.col("topics"), aligned=F.col("aligned"), unaligned=F.col("ids"))
 
 
 def missing_provenance(g: Graph) -> DataFrame:
@@ -70,11 +79,15 @@ def missing_provenance(g: Graph) -> DataFrame:
 
 
 def cycle_findings(g: Graph) -> DataFrame:
-    """One finding a strongly connected set of topics, with its size; its members are in `hierarchy.cycles`."""
+    """One finding a set of topics that require each other, with its size and one path around, from prerequisite to topic and back to its
+    start; the members are in `hierarchy.cycles`."""
     known = g.topics.select("id").distinct()
-    e = g.dependencies.join(known.toDF("topic_id"), "topic_id", "left_semi").join(known.toDF("prerequisite_id"), "prerequisite_id", "left_semi")
-    sets = cycles(e, "topic_id", "prerequisite_id").groupBy("cycle_id").agg(F.count("*").alias("n"))
-    return _finding(sets, "CYCLE", "error", F.format_string("%d topics require each other, among them %s", "n", "cycle_id"), cycle_id=F.col("cycle_id"), topics=F.col("n"))
+    e = hot_join(g.dependencies.select("topic_id", "prerequisite_id"), known.toDF("topic_id"), ["topic_id"], "left_semi")
+    e = cut(hot_join(e, known.toDF("prerequisite_id"), ["prerequisite_id"], "left_semi"))
+    members = cut(cycles(e, "topic_id", "prerequisite_id"))
+    sets = members.groupBy("cycle_id").agg(F.count("*").alias("n")).join(cycle_paths(e, "topic_id", "prerequisite_id", members), "cycle_id")
+    path = F.concat_ws(" → ", F.concat("path", F.slice("path", 1, 1)))
+    return _finding(sets, "CYCLE", "error", F.concat(F.col("n").cast("string"), F.lit(" topics require each other: "), path), cycle_id=F.col("cycle_id"), topics=F.col("n"), path=path)
 
 
 def name_description(g: Graph, judge: Callable[[DataFrame], DataFrame] | None) -> DataFrame:

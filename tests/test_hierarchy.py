@@ -1,6 +1,6 @@
 import random
 
-from kgraph.operators.hierarchy import cycles, descendants, hierarchy, stabbed
+from kgraph.operators.hierarchy import cycle_paths, cycles, descendants, hierarchy, stabbed
 from kgraph.plans import records
 
 
@@ -44,6 +44,24 @@ def test_cycles_of_random_graphs(spark):
     assert got == brute_cycles(pairs)
 
 
+def test_cycle_paths(spark):
+    rng = random.Random(8)
+    pairs = [(f"{g}-{rng.randrange(9):02d}", f"{g}-{rng.randrange(9):02d}") for g in range(8) for _ in range(16)] + [("s", "s")]
+    ring = [f"r{i:02d}" for i in range(33)]
+    pairs += list(zip(ring[1:] + ring[:1], ring, strict=True))
+    df = edges(spark, pairs)
+    found = cycles(df, "child", "parent")
+    paths = {r["cycle_id"]: r["path"] for r in cycle_paths(df, "child", "parent", found).collect()}
+    sets = {}
+    for r in found.collect():
+        sets.setdefault(r["cycle_id"], set()).add(r["node"])
+    assert paths.keys() == sets.keys() and paths["s"] == ["s"] and paths["r00"] == ring
+    for c, p in paths.items():
+        assert set(p) <= sets[c] and len(set(p)) == len(p) and p[0] == min(p)
+        assert all((b, a) in set(pairs) for a, b in zip(p, p[1:] + p[:1], strict=True))
+    assert cycle_paths(edges(spark, []), "child", "parent", found.limit(0)).collect() == []
+
+
 def test_no_links(spark):
     assert cycles(edges(spark, []), "child", "parent").collect() == []
     h = hierarchy(edges(spark, [(None, "a")]), "child", "parent", spark.createDataFrame([("b",)], "id string"))
