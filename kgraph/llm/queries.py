@@ -84,7 +84,8 @@ def p5_reviewers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_agreement(spark: SparkSession, d: str) -> DataFrame:
-    return consensus.agreement(_votes(spark, d))
+    x = consensus.agreement(_votes(spark, d))
+    return x.select("aspect", "items", "votes", *[F.round(c, 9).alias(c) for c in ("observed", "expected", "alpha")])
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -124,4 +125,31 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_unmatched, p3_found, p3_sizes, p5_found, p5_reviewers, p5_agreement, p7_ids, p7_roundtrip, p8_mix, p8_shares, p9_found, p9_pieces)}
 
-ORACLES: dict[str, str] = {}
+_LINKED = """
+WITH RECURSIVE e AS (SELECT DISTINCT kept_draft_id AS a, dropped_draft_id AS b FROM merges WHERE kept_draft_id IS NOT NULL AND dropped_draft_id IS NOT NULL),
+ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e),
+reach AS (SELECT a, b FROM ways UNION SELECT r.a, k.b FROM reach r JOIN ways k ON r.b = k.a),
+g AS (SELECT min(b) AS group_id, a AS draft_id FROM reach GROUP BY a)
+"""
+# a reviewer's latest vote on an item, known labels only
+_SPELLED = "regexp_replace(lower(trim({0})), '[\\s_-]+', '{1}', 'g')"
+_CODES = f"""
+WITH v AS (SELECT target, aspect, ingested_at AS moment, unnest(votes) AS x FROM review_log WHERE target IS NOT NULL AND aspect IN ('fidelity', 'name_desc', 'edge_reason')),
+w AS (SELECT target, aspect, moment, coalesce({_SPELLED.format("x.reviewer", "-")}, '') AS reviewer, {_SPELLED.format("x.judgment", "_")} AS judgment, x.approved AS approved FROM v WHERE x IS NOT NULL),
+one AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY target, aspect, reviewer ORDER BY moment DESC NULLS LAST, judgment NULLS FIRST, approved NULLS FIRST) = 1),
+c AS (SELECT target, aspect, reviewer, CASE WHEN aspect = 'edge_reason' THEN CASE WHEN judgment IN ('approved', 'rejected') THEN judgment WHEN approved THEN 'approved' WHEN NOT approved THEN 'rejected' END
+  WHEN aspect = 'fidelity' AND judgment IN ('faithful', 'reasonable_elaboration', 'fabricated') THEN judgment
+  WHEN aspect = 'name_desc' AND judgment IN ('consistent', 'scope_mismatch', 'topic_mismatch') THEN judgment
+  END AS code FROM one),
+per AS (SELECT target, aspect, code, count(*) AS n FROM c WHERE code IS NOT NULL GROUP BY ALL),
+item AS (SELECT target, aspect, sum(n) AS m, sum(n * (n - 1)) AS same FROM per GROUP BY ALL HAVING sum(n) > 1),
+seen AS (SELECT aspect, count(*) AS items, sum(m)::BIGINT AS votes, sum(same / (m - 1)) / sum(m) AS observed FROM item GROUP BY aspect),
+share AS (SELECT aspect, code, sum(n) AS n FROM per JOIN item USING (target, aspect) GROUP BY ALL),
+chance AS (SELECT aspect, sum(n * (n - 1)) / (sum(n) * (sum(n) - 1)) AS expected FROM share GROUP BY aspect)
+"""
+
+ORACLES: dict[str, str] = {
+    "p3_found": _LINKED + "SELECT group_id, draft_id FROM g",
+    "p3_sizes": _LINKED + "SELECT group_id, count(*) AS drafts FROM g GROUP BY group_id",
+    "p5_agreement": _CODES + "SELECT aspect, items, votes, round(observed, 9) AS observed, round(expected, 9) AS expected, round(CASE WHEN expected = 1 THEN 1 ELSE 1 - (1 - observed) / (1 - expected) END, 9) AS alpha FROM seen JOIN chance USING (aspect)",
+}
