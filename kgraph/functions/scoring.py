@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kgraph.functions.text import bigrams, plain
 
@@ -14,6 +17,9 @@ from kgraph.functions.text import bigrams, plain
 SEARCH_DESCRIPTION, MATCH_SIDE, CLAIM_NAME, CLAIM_DESCRIPTION = 0.5, 0.5, 0.7, 0.3
 LITERAL_LEAST, VECTOR_LEAST, CLAIM_LEAST = 0.20, 0.75, 0.6
 
+#: Vectors that one task of `encoder` keeps.
+MOST_KNOWN = 50_000
+
 
 def shared_share(a: Column, b: Column) -> Column:
     """Size of the intersection over the size of the smaller set; 0 if either is empty or null."""
@@ -59,6 +65,27 @@ def vector_scorer(encode: Callable[[Column], Column], least: float = VECTOR_LEAS
     return Scorer(lambda c: F.when(F.length(F.trim(c)) > 0, encode(F.trim(c))), lambda a, b: F.when(a.isNull() | b.isNull(), F.lit(0.0)).otherwise(cosine(a, b)), least)
 
 
+def encoder(load: Callable[[], Callable[[list[str]], list]]) -> Callable[[Column], Column]:
+    """The batch UDF of an embedding model for `vector_scorer`: load is called once a worker task, when its first text comes, and gives texts ->
+    vectors. Each distinct trimmed text of a task is encoded once; vectors come out at length 1, null for a null or blank text."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model, known = None, {}
+        for part in parts:
+            keys = [None if x is None or not x.strip() else x.strip() for x in part]
+            new = sorted({k for k in keys if k is not None and k not in known})
+            if len(known) + len(new) > MOST_KNOWN:
+                known, new = {}, sorted({k for k in keys if k is not None})
+            if new:
+                model = model or load()
+                v = np.asarray(model(new), dtype=float)
+                known.update(zip(new, (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).tolist(), strict=True))
+            yield pd.Series([None if k is None else known[k] for k in keys])
+
+    return encode
+
+
 def shared_grams(queries: DataFrame, texts: DataFrame, query_id: str, text_id: str, query: str, text: str) -> DataFrame:
     """(query_id, text_id, shared, n_query, n_text) of every pair with a common bigram, over whole texts.
 

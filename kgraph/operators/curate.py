@@ -350,7 +350,7 @@ def folded(drafts: DataFrame, pairs: DataFrame, components: DataFrame, judge) ->
     rows = drafts.join(components, "draft_id").withColumn("record", F.to_json(F.struct("draft_id", "standard_codes", "content")))
     links = pairs.join(components.toDF("group_id", "i"), "i").groupBy("group_id").agg(F.to_json(F.sort_array(F.collect_set(F.struct("i", "j")))).alias("links"))
 
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         import json
 
         ask = judge()
@@ -365,7 +365,7 @@ def folded(drafts: DataFrame, pairs: DataFrame, components: DataFrame, judge) ->
             except PROGRAMMING:
                 raise
             except Exception as e:  # noqa: BLE001
-                out.append(["drop", f"{a['draft_id']}|{b['draft_id']}", "", str(e)])
+                out.append(["drop", f"{a['draft_id']}|{b['draft_id']}", "", f"{type(e).__name__}: {e}"])
                 continue
             if not same:
                 continue

@@ -1,7 +1,11 @@
-"""The six tools over one graph, by name with plain arguments and plain results: what a query server binds to."""
+"""The six tools over one graph, by name with plain arguments and plain results, and a server of them over lines of text."""
 
 from __future__ import annotations
 
+import inspect
+import json
+from collections.abc import Iterable
+
 from kgraph.operators import serve
 from kgraph.operators.graph import Graph, plan_path, prerequisites
 
@@ -34,3 +38,46 @@ class Tools:
         out["grade_distribution"] = {r["grade"]: r["topics"] for r in serve.grade_distribution(t).orderBy("grade").collect()}
         out["review_status_counts"] = {r["review_status"]: r["topics"] for r in serve.review_status_counts(t).collect()}
         return out
+
+
+NAMES = ("search_topics", "match_misconceptions", "get_topic", "get_prerequisites", "plan_path", "get_graph_stats")
+
+
+def answer(tools: Tools, request: dict) -> dict | None:
+    """One request of JSON-RPC 2.0 with the methods initialize, tools/list and tools/call; None for a notification."""
+    method, params, rid = request.get("method"), request.get("params") or {}, request.get("id")
+    if rid is None:
+        return None
+    reply = {"jsonrpc": "2.0", "id": rid}
+    if method == "initialize":
+        return reply | {"result": {"protocolVersion": params.get("protocolVersion", "2024-11-05"), "capabilities": {"tools": {}}, "serverInfo": {"name": "kgraph", "version": "1"}}}
+    if method == "tools/list":
+        return reply | {"result": {"tools": [{"name": n, "description": n.replace("_", " "), "inputSchema": _inputs(getattr(tools, n))} for n in NAMES]}}
+    if method != "tools/call" or params.get("name") not in NAMES:
+        return reply | {"error": {"code": -32601, "message": f"unknown: {params.get('name', method)}"}}
+    try:
+        got = getattr(tools, params["name"])(**params.get("arguments") or {})
+        return reply | {"result": {"content": [{"type": "text", "text": json.dumps(got, ensure_ascii=False, default=str)}], "isError": False}}
+    except (ValueError, TypeError) as e:  # unknown ids, negative limits, wrong arguments: the caller's to mend
+        return reply | {"result": {"content": [{"type": "text", "text": f"{type(e).__name__}: {e}"}], "isError": True}}
+
+
+def _inputs(tool) -> dict:
+    kinds = {"str": "string", "int": "integer", "bool": "boolean", "list[str]": "array"}
+    given = inspect.signature(tool).parameters
+    fields = {n: {"type": kinds.get(str(p.annotation).split(" |")[0], "string")} for n, p in given.items()}
+    return {"type": "object", "properties": fields, "required": [n for n, p in given.items() if p.default is p.empty]}
+
+
+def serve_lines(tools: Tools, source: Iterable[str], sink) -> None:
+    """Answer requests, one a line, until the source ends: standard input and output, or any other pair."""
+    for line in source:
+        if not line.strip():
+            continue
+        try:
+            out = answer(tools, json.loads(line))
+        except json.JSONDecodeError as e:
+            out = {"jsonrpc": "2.0", "id": None, "error": {"code": -32700, "message": str(e)}}
+        if out is not None:
+            sink.write(json.dumps(out, ensure_ascii=False) + "\n")
+            sink.flush()

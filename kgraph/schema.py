@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,27 +73,56 @@ def _unknown(value, kind, at: str) -> list[str]:
     return []
 
 
+def _strict(texts: DataFrame, path: str, schema: T.StructType) -> None:
+    """Malformed JSON and unknown keys are errors. Each text (value) is looked at where it lies; only what is wrong comes back."""
+
+    def look(parts):
+        for part in parts:
+            bad = []
+            for t in part["value"]:
+                try:
+                    extra = _unknown(json.loads(t), schema, "$")
+                    bad += [f"unknown keys {', '.join(extra[:5])}"] if extra else []
+                except ValueError as e:
+                    bad.append(str(e))
+            yield pd.DataFrame({"problem": pd.Series(bad[:5], dtype="object")})
+
+    if bad := texts.mapInPandas(look, "problem string").limit(5).collect():
+        raise StrictError(f"{path}: " + "; ".join(r["problem"] for r in bad))
+
+
 def strict_document(spark: SparkSession, path: str, schema: T.StructType = GRAPH) -> DataFrame:
     """One JSON document as one row; malformed text and keys that the schema lacks are errors at load time."""
-    texts = [r[0] for r in spark.read.text(path, wholetext=True).collect()]
-    for t in texts:
-        try:
-            doc = json.loads(t)
-        except ValueError as e:
-            raise StrictError(f"{path}: {e}") from e
-        if extra := _unknown(doc, schema, "$"):
-            raise StrictError(f"{path}: unknown keys {', '.join(extra[:5])}")
+    _strict(spark.read.text(path, wholetext=True), path, schema)
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def strict_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A JSON document a line, as strict."""
+    _strict(spark.read.text(path), path, schema)
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+#: What JSON Schema says beyond types: closed sets, ranges and least lengths, by field.
+LIMITS = {
+    "type": {"enum": list(TYPES)}, "strength": {"enum": list(STRENGTHS)}, "review_status": {"enum": list(STATUSES)}, "evidence": {"minItems": 1},
+    "grade_start": {"minimum": 1, "maximum": 9}, "grade_end": {"minimum": 1, "maximum": 9}, "confidence": {"minimum": 0, "maximum": 1}, "reason": {"minLength": 1}, "note": {"minLength": 1},
+}
+#: Fields that may be left out or null; all others are required.
+OPTIONAL = {"misconceptions", "standards", "textbook_units", "provenance", "reviewer", "reviewed_at", "dependencies", "revisits"}
+
+
 def json_schema(schema: T.DataType = GRAPH) -> dict:
     """The JSON Schema (2020-12) of a declared type."""
 
-    def of(t) -> dict:
+    def of(t, name: str = "") -> dict:
         if isinstance(t, T.ArrayType):
-            return {"type": "array", "items": of(t.elementType)}
-        if isinstance(t, T.StructType):
-            return {"type": "object", "additionalProperties": False, "properties": {f.name: of(f.dataType) for f in t}}
-        return {"type": {"string": "string", "int": "integer", "double": "number", "boolean": "boolean"}[t.simpleString()]}
+            out = {"type": "array", "items": of(t.elementType)}
+        elif isinstance(t, T.StructType):
+            out = {"type": "object", "additionalProperties": False, "properties": {f.name: of(f.dataType, f.name) for f in t}, "required": [f.name for f in t if f.name not in OPTIONAL]}
+        else:
+            out = {"type": {"string": "string", "int": "integer", "double": "number", "boolean": "boolean"}[t.simpleString()]}
+        out |= LIMITS.get(name, {})
+        return {"anyOf": [out, {"type": "null"}]} if name in OPTIONAL and not isinstance(t, T.ArrayType) else out
 
     return {"$schema": "https://json-schema.org/draft/2020-12/schema", **of(schema)}

@@ -98,3 +98,28 @@ def test_text_becomes_a_graph(spark, tmp_path):
 def test_no_judges(spark, tmp_path):
     with pytest.raises(ValueError):
         curated(Run(spark, "s", str(tmp_path), "m", "c"), None, None, Models(None, None, None), "c", "m")
+
+
+def test_retention_by_statements(spark):
+    from kgraph import schema as S
+    from kgraph.operators.curate import retention
+
+    kind = f"id string, name string, misconceptions array<{S.MISCONCEPTION.simpleString()}>"
+    m = lambda *xs: [(x, "same probe", "same hint") for x in xs]
+    a = spark.createDataFrame([("t1", "n", m("分数越大越好", "小数没有意义")), ("t2", "n", m("圆就是球")), ("t3", "n", None), ("gone", "n", m("x"))], kind)
+    b = spark.createDataFrame([("t1", "n", m("分数越大 越好", "小数都没有意义", "新的")), ("t2", "other", m("abc")), ("t3", "n", m("y")), ("new", "n", m("x"))], kind)
+    r = retention(a, b, [0.5]).first()
+    assert (r["statements"], r["verbatim"], r["matched"], r["lost"], r["added"], r["hollowed"], r["renamed"]) == (3, 1, 2, 1, 3, 1, 1)
+    assert abs(r["median_score"] - (1 + 0.8) / 2) < 1e-9
+    none = retention(a.limit(0), b, [0.5]).first()
+    assert (none["statements"], none["matched"], none["median_score"]) == (0, 0, 0.0)
+
+
+def test_call_levels(spark):
+    from kgraph.operators.evaluate import level_results
+
+    rows = [(1, 0.0, 2.0, None, None), (1, 1.0, 3.0, None, None), (1, 2.0, 4.0, 429, None), (1, 2.5, 2.5, None, "HTTP 429"), (1, 3.0, 5.0, 500, "x"), (2, 1.0, 1.0, 429, None)]
+    got = {r["level"]: r for r in level_results(spark.createDataFrame(rows, "level int, started double, ended double, status int, error string"), "level").collect()}
+    a, b = got[1], got[2]
+    assert (a["requests"], a["ok"], a["rate_limited"], a["failed"], a["wall"], a["throughput"], a["p50"], a["p95"], a["peak"]) == (5, 2, 2, 1, 5.0, 0.4, 2.0, 2.0, 2)
+    assert (b["requests"], b["ok"], b["throughput"], b["p50"], b["peak"]) == (1, 0, 0.0, 0.0, 0)

@@ -54,5 +54,5 @@ def test_whole_retrieval(spark, tmp_path):
         assert got[text] == [(r["id"], r["position"], round(r["score"], 6)) for r in serve.match_misconceptions(g, text).collect()]
     assert catalogue.FLAGSHIP == "observation_top5"
     assert {r["id"] for r in curriculum.search_fraction_texts(spark, d).collect()} == {"t1"}
-    f = {round(r["threshold"], 2): r for r in curriculum.retrieval_frontier_all(spark, d).collect()}
+    f = {round(r["threshold"], 2): r for r in curriculum.retrieval_frontier(spark, d).collect()}
     assert {(r["cases"], r["empty_cases"]) for r in f.values()} == {(2, 2)} and f[0.95]["empty_accuracy"] == 1.0

@@ -57,3 +57,84 @@ def test_faults(spark):
     with pytest.raises(RuntimeError):
         call({})
     assert call({}) == 1
+
+
+def test_graph_comes_back(spark, tmp_path):
+    p = tmp_path / "g.json"
+    p.write_text(json.dumps({"topics": [TOPIC, {**TOPIC, "id": "t2", "provenance": None}], "dependencies": [{"topic_id": "t1", "prerequisite_id": "t2", "strength": "hard", "reason": "r"}], "revisits": []}))
+    want = [sorted(map(str, x.collect())) for x in docs.read_graph(spark, str(p))]
+    first = docs.read_graph(spark, str(p))
+    docs.write_graph(*first, str(tmp_path / "folder"))
+    docs.export_graph(*first, str(tmp_path / "new" / "out.json"))
+    for path in ("folder", "new/out.json"):
+        assert [sorted(map(str, x.collect())) for x in docs.read_graph(spark, str(tmp_path / path))] == want
+    (tmp_path / "folder" / "topics" / "more.txt").write_text(json.dumps({**TOPIC, "ordinal": 9, "colour": 1}) + "\n")
+    with pytest.raises(S.StrictError):
+        docs.read_graph(spark, str(tmp_path / "folder"))
+    docs.export_rows(first[1], str(tmp_path / "rows.json"))
+    assert json.loads((tmp_path / "rows.json").read_text())[0]["reason"] == "r"
+    node = S.json_schema()["properties"]["topics"]["items"]
+    assert "id" in node["required"] and "provenance" not in node["required"] and node["properties"]["type"]["enum"] and node["properties"]["grade_end"]["maximum"] == 9
+
+
+def test_registry_is_saved(spark, tmp_path):
+    e = spark.createDataFrame([("e1", "n", "d", 1, 2, None, ["a"])], S.REGISTRY_ENTRY)
+    path = str(tmp_path / "r.json")
+    assert docs.read_registry(spark, path).count() == 0 and docs.registry_settings(spark, path) == ("", 0.6)
+    docs.write_registry(e, path, "备注", 0.7)
+    docs.write_registry(docs.read_registry(spark, path), path, "备注", 0.7)
+    assert docs.registry_settings(spark, path) == ("备注", 0.7) and docs.read_registry(spark, path).first()["aliases"] == ["a"]
+    table = str(tmp_path / "table")
+    docs.write_registry(e, table)
+    docs.write_registry(docs.read_registry(spark, table).unionByName(e.withColumn("id", e["name"])), table)
+    assert docs.read_registry(spark, table).count() == 2
+    # a crash after the old table moved aside
+    (tmp_path / "table").rename(tmp_path / "table.old-x")
+    assert docs.read_registry(spark, table).count() == 2
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import io
+
+    from kgraph.__main__ import run
+
+    good = tmp_path / "g.json"
+    good.write_text(json.dumps({"topics": [{**TOPIC, "standards": [{"curriculum": "c", "code": "1"}], "provenance": {"method": "m", "review_status": "approved", "confidence": 1}, "misconceptions": [{"statement": "分数越大越好", "probe": "p", "correction_hint": "h"}]}, {**TOPIC, "id": "t2"}], "dependencies": [{"topic_id": "t1", "prerequisite_id": "t2", "strength": "hard", "reason": "r"}]}))
+    out = io.StringIO()
+    assert run(["validate", str(good)], spark, sink=out) == 1 and "MISSING_PROVENANCE" in out.getvalue()
+    assert run(["validate", str(tmp_path / "no.json")], spark, sink=out) == 2
+    out = io.StringIO()
+    assert run(["compare", str(good), str(good)], spark, sink=out) == 0 and "id: 2 of 2" in out.getvalue() and "1 of 1 statements" in out.getvalue()
+    assert run(["schema", str(tmp_path / "s.json")]) == 0
+    out = io.StringIO()
+    asks = [{"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "get_topic", "arguments": {"topic_id": "t1"}}}, {"id": 4, "method": "tools/call", "params": {"name": "get_topic", "arguments": {"topic_id": "zz"}}}, {"id": 5, "method": "nope"}]
+    assert run(["serve", str(good)], spark, source=[*map(json.dumps, asks), "{"], sink=out) == 0
+    got = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [g["id"] for g in got] == [1, 2, 3, 4, 5, None] and len(got[1]["result"]["tools"]) == 6
+    assert json.loads(got[2]["result"]["content"][0]["text"])["id"] == "t1" and got[3]["result"]["isError"] and "error" in got[4]
+    assert got[1]["result"]["tools"][0]["inputSchema"]["required"] == ["query"]
+
+
+def test_structured_answers_and_counting(spark):
+    kind = S._struct(judgment=S.T.StringType(), score=S.T.IntegerType())
+    calls = spark.sparkContext.accumulator(0)
+
+    def connect():
+        return lambda question, shape: None if "silent" in question else {"judgment": "ok", "score": "x" if "wrong" in question else 1}
+
+    ask = lambda row: hooks.prompt("judge", {"name": "Name", "evidence": "Seen"}, row)
+    assert ask({"name": "a", "evidence": ["x", "y"]}) == "judge\n\nName: a\n\nSeen:\n- x\n- y" and ask({"name": " "}) == "judge"
+    d = spark.createDataFrame([("good",), ("silent",), ("wrong",)], "name string")
+    got = {r["name"]: r for r in hooks.mapped(d, hooks.counting(hooks.structured(connect, ask, kind), calls), kind, tries=3).collect()}
+    assert got["good"]["result"]["score"] == 1 and got["silent"]["error"].startswith("ToolCallMissing") and got["wrong"]["error"].startswith("ValueError")
+    assert (got["good"]["attempts"], got["silent"]["attempts"], got["wrong"]["attempts"]) == (1, 3, 1) and calls.value == 5
+    assert hooks.ceiling(4) == 8 and hooks.ceiling(100) == 32
+
+
+def test_encoder(spark):
+    from kgraph.functions.scoring import encoder, vector_scorer
+
+    v = vector_scorer(encoder(lambda: lambda texts: [[len(t), t.count("a")] for t in texts]))
+    d = spark.createDataFrame([("aa ", "a"), ("b", "aa"), (" ", "a"), (None, "a")], "x string, y string").repartition(1)
+    got = [r[0] for r in d.select(v.relevance(v.prepare(d["x"]), v.prepare(d["y"]))).collect()]
+    assert [round(g, 6) for g in got] == [1.0, 0.707107, 0.0, 0.0]
