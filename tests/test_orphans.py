@@ -1,5 +1,6 @@
 from datetime import datetime as D
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from kgraph.operators import orphans
@@ -19,3 +20,11 @@ def test_empty(spark):
     k = orphans.parents(spark.createDataFrame([], "id string, at timestamp, gone timestamp"), "s", "id", "at", "gone")
     r = orphans.references(spark.createDataFrame([], "row bigint, key string, at timestamp"), "s", "t", "row", "key", F.col("key"), "at")
     assert orphans.orphans(r, k).collect() == []
+
+
+def test_containers():
+    rng = np.random.default_rng(1)
+    every = np.arange(orphans.RANGE)
+    for bits, kind in ((every, b"r"), (every[100:9000], b"r"), (rng.choice(every, 20_000, replace=False), b"b"), (every[::3][:50], b"p"), (every[:1], b"p"), (every[-2:], b"p"), (every[:0], b"p"), (every[-9:], b"r")):
+        data = orphans.packed(bits.copy())
+        assert data[:1] == kind and (np.flatnonzero(orphans.opened(data)) == np.sort(bits)).all() and len(data) <= 4097
