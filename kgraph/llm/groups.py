@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgraph.session import cut
+from kgraph.operators.skew import LEAST_HOT, hot_join
+from kgraph.session import cut_counting, rounds
 
 
-def groups(pairs: DataFrame, left: str, right: str, group: str = "group_id", member: str = "member_id", hot_share: float = 1e-3) -> DataFrame:
+def groups(pairs: DataFrame, left: str, right: str, group: str = "group_id", member: str = "member_id", least_hot: int = LEAST_HOT) -> DataFrame:
     """(group, member): every id of a pair without nulls, with the smallest id linked to it directly or indirectly.
 
     A pair with a null on either side is no link and its other side doesn't occur for it; a self pair makes its id
@@ -16,24 +17,30 @@ def groups(pairs: DataFrame, left: str, right: str, group: str = "group_id", mem
     No pairs give no rows.
 
     Each round, every vertex v sends its cluster to the smallest member m of it, and m to every other member. A cluster is
-    never one value: it's the rows (v, member), and a round is one partial minimum a vertex and two rows for each row. The
-    pairing of rows with their vertex's minimum is a shuffle join for all vertices but those that hold more than
-    hot_share of all rows; of these there are fewer than 1/hot_share, and they are joined by broadcast where their rows
-    lie. Rounds end when rows and their hash sum no longer change, after about log(longest chain) of them.
+    never one value: it's the rows (v, member), and a round is one partial minimum a vertex and two rows for each row. Vertices of
+    more than least_hot rows are joined by broadcast where their rows lie, at most 1,000 of them; each has over a thousandth of
+    all rows or shares its task with others like it. A row whose two ends have different minima crosses; what no row crosses is
+    stable, leaves with its minimum as its group, and isn't sent again. Rounds end when nothing crosses, after about log(longest chain).
     """
     e = pairs.select(F.col(left).cast("string").alias("v"), F.col(right).cast("string").alias("u")).where("v IS NOT NULL AND u IS NOT NULL")
     ends = F.array(F.struct(F.col("v").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("v").alias("u")), F.struct(F.col("v").alias("v"), F.col("v").alias("u")), F.struct(F.col("u").alias("v"), F.col("u").alias("u")))
-    rows = cut(e.select(F.inline(ends)).distinct())
-    mark = None
+    rows, n = cut_counting(e.select(F.inline(ends)).distinct(), F.lit(True))
+    out = None
     while True:
-        n, h = rows.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
-        if (n, h) == mark or not n:
-            break
-        mark = (n, h)
-        low = cut(rows.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n")))
-        hot = low.where(F.col("n") > max(1000, int(n * hot_share))).select("v", "m")
-        in_hot = rows.join(F.broadcast(hot), "v")
-        rest = rows.join(F.broadcast(hot.select("v")), "v", "left_anti").join(low.select("v", "m"), "v")
-        sent = in_hot.unionByName(rest).select(F.inline(F.array(F.struct(F.col("m").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))))
-        rows = cut(sent.distinct())
-    return rows.groupBy("v").agg(F.min("u").alias("m")).select(F.col("m").alias(group), F.col("v").alias(member))
+        with rounds(pairs.sparkSession, n):
+            low, many = cut_counting(rows.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n")), F.col("n") > least_hot)
+            # rows go both ways, so what is hot as v is hot as u, and a minimum of many vertices holds them all
+            hot = low.where(F.col("n") > least_hot).orderBy(F.desc("n")).limit(1000).select("v").collect() if many else []
+            low = low.select("v", "m")
+            near = hot_join(rows, low, ["v"], hot=hot)
+            far = low.select(F.col("v").alias("u"), F.col("m").alias("m2"))
+            touched = hot_join(near, far, ["u"], hot=hot).where("m <> m2").select(F.explode(F.array("m", "m2")).alias("m")).distinct()
+            open_, crossing = cut_counting(touched, F.lit(True))
+            stable = low if not crossing else hot_join(low, open_, ["m"], "left_anti", hot=hot)
+            part = stable.select(F.col("m").alias(group), F.col("v").alias(member))
+            out = part if out is None else out.unionByName(part)
+            if not crossing:
+                return out
+            on = hot_join(rows, hot_join(low, open_, ["m"], "left_semi", hot=hot), ["v"], hot=hot)
+            sent = on.select(F.inline(F.array(F.struct(F.col("m").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))))
+            rows, n = cut_counting(sent.distinct(), F.lit(True))

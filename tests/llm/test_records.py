@@ -25,7 +25,7 @@ def test_groups_equal_union_find(spark):
             a, b = sorted((find(a), find(b)))
             parent[b] = a
     d = spark.createDataFrame(pairs, "a string, b string").selectExpr("a", "b", "1 AS v", "2 AS u")
-    rows = groups.groups(d, "a", "b", hot_share=0.2).collect()
+    rows = groups.groups(d, "a", "b", least_hot=200).collect()
     assert len(rows) == len(parent) and {(r["group_id"], r["member_id"]) for r in rows} == {(find(x), x) for x in parent}
     assert groups.groups(d.limit(0), "a", "b").collect() == []
 
