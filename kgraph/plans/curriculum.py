@@ -395,6 +395,13 @@ def finding_summary(spark, d):
     return validate.summarised(validate.run_all(graph(spark, d, spiral=True))).select("code", "severity", "findings")
 
 
+def all_findings(spark, d):
+    """Every finding with what it's about: ids of cycles, of ends that are no topic, of topics and of links."""
+    c = F.col("context")
+    about = F.coalesce(c["cycle_id"], F.concat_ws("|", c["field"], c["id"], c["prerequisite_id"], c["topic_id"], c["earlier_id"], c["later_id"], c["topics"], c["aligned"], c["unaligned"], c["reason"]))
+    return validate.run_all(graph(spark, d, spiral=True)).select("code", "severity", about.alias("about"))
+
+
 def content_violations(spark, d):
     """Broken rules of a topic among the contents of kept drafts, which nobody has checked yet."""
     x = kept_drafts(spark, d).select("draft_id", "content.*", F.col("draft_id").alias("id"), F.lit(None).cast(S.PROVENANCE).alias("provenance"))
@@ -531,7 +538,7 @@ _ALL = (
     registry_claims, registry_assignment, unknown_prerequisites, review_unresolved, edge_prefilter_kept, edge_prefilter_drops, orphaned_drafts, draft_review, draft_review_drops,
     edge_review, edge_review_drops, assembled_links, graph_stats, grade_histogram, curriculum_codes, review_statuses, standards_coverage, unanimous_reviews, mapped_votes,
     single_edges, duplicate_edges, merged_evidence, prerequisites_depth2, prerequisites_hard, chains, longest_chain_of_all, spiral_notes, dangling_links, isolated_topics,
-    grade_inversions, revisits_not_advancing, missing_provenance, finding_summary, content_violations, literal_match_top3, observation_top5, retrieval_frontier, operating_point,
+    grade_inversions, revisits_not_advancing, missing_provenance, finding_summary, all_findings, content_violations, literal_match_top3, observation_top5, retrieval_frontier, operating_point,
     judge_confusion, judge_scores, latency_levels, call_levels, ledger_append, snapshot_overlap, statement_retention, nearest_vectors, event_props,
 )
 QUERIES = {f.__name__: f for f in _ALL}

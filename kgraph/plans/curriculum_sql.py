@@ -149,6 +149,31 @@ FROM n JOIN l USING (event_type) JOIN peak USING (event_type)
 """
 
 
+_CLAIMS = _with(_T, f"a AS (SELECT id, domain, grade_start AS x, coalesce(grade_end, grade_start) AS y, {_grams('name')} AS n, {_grams("coalesce(description, '')")} AS d FROM t), b AS (SELECT DISTINCT id AS entry_id, domain, grade_start AS x, coalesce(grade_end, 9) AS y, {_grams('name')} AS n, {_grams("coalesce(description, '')")} AS d FROM registry_entries)", f"s AS (SELECT a.id, b.entry_id, 0.7 * ({_share('a.n', 'b.n')}) + 0.3 * ({_share('a.d', 'b.d')}) AS score FROM a JOIN b ON a.domain = b.domain AND a.x <= b.y AND b.x <= a.y)", "c AS (SELECT id, entry_id, max(score) AS score FROM s WHERE score >= 0.6 AND id IS NOT NULL AND entry_id IS NOT NULL GROUP BY ALL)")
+
+
+def _greedy() -> str:
+    """Ranked pairs p (part, r, l, k, ...) taken one after the other, in every part by itself, unless an end is taken."""
+    return f"""g AS (SELECT DISTINCT part, 0::BIGINT AS r, []::VARCHAR[] AS lefts, []::VARCHAR[] AS rights, []::BIGINT[] AS chosen FROM p
+UNION ALL SELECT p.part, p.r, CASE WHEN ok THEN list_append(lefts, p.l) ELSE lefts END, CASE WHEN ok THEN list_append(rights, p.k) ELSE rights END, CASE WHEN ok THEN list_append(chosen, p.r) ELSE chosen END
+  FROM (SELECT p.*, g.lefts, g.rights, g.chosen, NOT list_contains(g.lefts, p.l) AND NOT list_contains(g.rights, p.k) AS ok FROM g JOIN p ON p.part = g.part AND p.r = g.r + 1) p),
+took AS (SELECT part, unnest(chosen) AS r FROM g QUALIFY row_number() OVER (PARTITION BY part ORDER BY g.r DESC) = 1)"""
+
+
+# misconceptions of topics in both snapshots, with their places, and how alike their statements are
+_KEPT = (
+    _T
+    + f""", later AS (SELECT id, CASE WHEN grade_start > 6 THEN upper(name) ELSE name || '（修订）' END AS name, misconceptions[2:] AS ms FROM t WHERE deleted_at IS NULL),
+two AS (SELECT t.id, t.name AS n1, coalesce(t.misconceptions, []) AS m1, later.name AS n2, coalesce(later.ms, []) AS m2 FROM t JOIN later ON t.id = later.id),
+x AS (SELECT id, k AS pos, {_plain("coalesce(m1[k].statement, '')")} AS key FROM (SELECT id, m1, unnest(generate_series(1, len(m1))) AS k FROM two)),
+y AS (SELECT id, k AS pos, {_plain("coalesce(m2[k].statement, '')")} AS key FROM (SELECT id, m2, unnest(generate_series(1, len(m2))) AS k FROM two)),
+xg AS (SELECT *, {_grams("key")} AS g FROM x), yg AS (SELECT *, {_grams("key")} AS g FROM y),
+s AS (SELECT xg.id, xg.pos AS a, yg.pos AS b, xg.key = yg.key AS verbatim, {_share("xg.g", "yg.g")} AS score FROM xg JOIN yg ON xg.id = yg.id),
+th AS (SELECT unnest([0.3, 0.6, 0.9])::DOUBLE AS threshold),
+p AS (SELECT threshold || '|' || s.id AS part, threshold, s.*, a::VARCHAR AS l, b::VARCHAR AS k, row_number() OVER (PARTITION BY threshold, s.id ORDER BY score DESC, a, b) AS r FROM s JOIN th ON s.score >= th.threshold),
+"""
+)
+
 ORACLES = {
     "topic_cards": _with(_T) + "SELECT id, name, CASE WHEN length(description) > 60 THEN substring(description, 1, 60) || '…' ELSE description END AS summary, grade_start, grade_end, CASE WHEN provenance IS NULL THEN 'unreviewed' ELSE provenance.review_status END AS review_status FROM t",
     "topics_of_grade5": _with(_T) + "SELECT id, name, grade_start, grade_end FROM t WHERE 5 BETWEEN grade_start AND coalesce(grade_end, grade_start)",
@@ -162,8 +187,25 @@ x AS (SELECT DISTINCT unnest([b || '分之' || w, w || ' 分之' || b, w || '加
 SELECT text, {_plain("text")} AS plain FROM x""",
     "chunk_texts": _with(_PARAGRAPHS) + "SELECT stem || '#' || lpad(o::VARCHAR, greatest(3, length(o::VARCHAR))::INTEGER, '0') AS id, code AS standard_code, length(body)::INTEGER AS chars, o::INTEGER AS ordinal FROM (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY k) AS o FROM p WHERE code <> '')",
     "chunk_drops": _with(_PARAGRAPHS) + "SELECT 'chunk' AS stage, stem || '¶' || lpad(k::VARCHAR, greatest(3, length(k::VARCHAR))::INTEGER, '0') AS ref, 'NO_STANDARD_CODE' AS reason FROM p WHERE code = ''",
-    "registry_claims": _with(_T, f"a AS (SELECT id, domain, grade_start AS x, coalesce(grade_end, grade_start) AS y, {_grams('name')} AS n, {_grams("coalesce(description, '')")} AS d FROM t), b AS (SELECT DISTINCT id AS entry_id, domain, grade_start AS x, coalesce(grade_end, 9) AS y, {_grams('name')} AS n, {_grams("coalesce(description, '')")} AS d FROM registry_entries)", f"s AS (SELECT a.id, b.entry_id, 0.7 * ({_share('a.n', 'b.n')}) + 0.3 * ({_share('a.d', 'b.d')}) AS score FROM a JOIN b ON a.domain = b.domain AND a.x <= b.y AND b.x <= a.y)")
-    + "SELECT id, entry_id, round(max(score), 6) AS score FROM s WHERE score >= 0.6 AND id IS NOT NULL AND entry_id IS NOT NULL GROUP BY ALL",
+    "registry_claims": _CLAIMS + "SELECT id, entry_id, round(score, 6) AS score FROM c",
+    "registry_assignment": _CLAIMS.replace("WITH ", "WITH RECURSIVE ", 1) + ", p AS (SELECT 'all' AS part, id AS l, entry_id AS k, score, row_number() OVER (ORDER BY score DESC, id, entry_id) AS r FROM c), " + _greedy() + " SELECT p.l AS id, p.k AS entry_id, round(p.score, 6) AS score FROM took JOIN p USING (part, r)",
+    "statement_retention": "WITH RECURSIVE " + _KEPT + _greedy()
+    + """, m AS (SELECT p.threshold, p.id, p.verbatim, p.score FROM took JOIN p USING (part, r)),
+n AS (SELECT sum(len(m1)) AS statements, sum(len(m2)) AS later, count(*) FILTER (n1 IS DISTINCT FROM n2) AS renamed, count(*) FILTER (len(m1) > 0) AS had FROM two)
+SELECT th.threshold, n.statements::BIGINT AS statements, count(*) FILTER (m.verbatim) AS verbatim, count(m.id) AS matched, (n.statements - count(m.id))::BIGINT AS lost, (n.later - count(m.id))::BIGINT AS added,
+  n.had - count(DISTINCT m.id) AS hollowed, n.renamed, round(coalesce(median(m.score), 0), 6) AS median_score
+FROM th CROSS JOIN n LEFT JOIN m ON m.threshold = th.threshold GROUP BY th.threshold, n.statements, n.later, n.had, n.renamed""",
+    "learning_path": _CHAINS.replace(_E, _E + ", " + _R)
+    + """, target AS (SELECT id FROM (SELECT id, max(length) AS n FROM w GROUP BY id) ORDER BY n DESC, id LIMIT 1),
+up AS (SELECT a AS id FROM reach WHERE b = (SELECT id FROM target) UNION SELECT id FROM target),
+known AS (SELECT min(id) AS id FROM up WHERE id <> (SELECT id FROM target)),
+have AS (SELECT id FROM known WHERE id IS NOT NULL UNION SELECT a FROM reach WHERE b = (SELECT id FROM known)),
+need AS (SELECT t.id, t.name, t.grade_start, coalesce(list(DISTINCT k.a) FILTER (k.a IS NOT NULL AND k.a IN (SELECT id FROM up) AND k.a NOT IN (SELECT id FROM have)), []) AS pre
+  FROM t LEFT JOIN k ON k.b = t.id WHERE t.id IN (SELECT id FROM up) AND t.id NOT IN (SELECT id FROM have) GROUP BY t.id, t.name, t.grade_start),
+walk AS (SELECT []::VARCHAR[] AS done UNION ALL SELECT list_append(done, nxt) FROM (SELECT done, min_by(id, struct_pack(g := grade_start, i := id)) AS nxt FROM walk, need WHERE NOT list_contains(done, id) AND len(list_filter(pre, lambda x: NOT list_contains(done, x))) = 0 GROUP BY done)),
+whole AS (SELECT done FROM walk ORDER BY len(done) DESC LIMIT 1),
+notes AS (SELECT earlier_id AS id FROM r UNION ALL SELECT later_id FROM r)
+SELECT list_position((SELECT done FROM whole), id)::INTEGER AS step, id, name, grade_start, (SELECT count(*) FROM notes n WHERE n.id = need.id)::INTEGER AS revisits, id = (SELECT id FROM target) AS is_target FROM need""",
     "draft_review": _with(_REVIEWED) + "SELECT draft_id AS target, 'fidelity' AS aspect, judgment, judgment <> 'fabricated' AS approved FROM f WHERE NOT failed UNION ALL SELECT draft_id, 'name_desc', judgment, judgment <> 'topic_mismatch' FROM n WHERE NOT failed",
     "draft_review_drops": _with(_REVIEWED)
     + """SELECT 'review' AS stage, draft_id AS ref, 'FIDELITY_JUDGE_FAILED' AS reason, 'RuntimeError: a draft without a name' AS detail FROM f WHERE failed
@@ -232,6 +274,19 @@ UNION ALL SELECT 'LOW_STANDARDS_COVERAGE', 'error', CASE WHEN count(*) FILTER (l
 UNION ALL SELECT 'MISSING_PROVENANCE', 'error', count(*) FROM t WHERE provenance IS NULL
 UNION ALL SELECT 'CONSISTENCY_SKIPPED', 'warning', 1)
 SELECT code, severity, findings::BIGINT AS findings FROM f WHERE findings > 0""",
+    "all_findings": "WITH RECURSIVE "
+    + ", ".join((_T, _E, _R, _ENDS))
+    + """, k AS (SELECT DISTINCT prerequisite_id AS a, topic_id AS b FROM e WHERE prerequisite_id IN (SELECT id FROM t) AND topic_id IN (SELECT id FROM t)),
+reach AS (SELECT a, b FROM k UNION SELECT r.a, k.b FROM reach r JOIN k ON r.b = k.a),
+cyc AS (SELECT x.a, min(x.b) AS c FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a)
+SELECT DISTINCT 'CYCLE' AS code, 'error' AS severity, c AS about FROM cyc
+UNION ALL SELECT 'DANGLING_REF', 'error', field || '|' || id FROM ends WHERE id NOT IN (SELECT id FROM t)
+UNION ALL SELECT 'ISOLATED_TOPIC', 'warning', id FROM t WHERE id NOT IN (SELECT id FROM ends)
+UNION ALL SELECT 'GRADE_INVERSION', CASE WHEN e.strength = 'hard' THEN 'error' ELSE 'warning' END, prerequisite_id || '|' || topic_id FROM e JOIN t a ON e.prerequisite_id = a.id JOIN t b ON e.topic_id = b.id WHERE a.grade_start > b.grade_start
+UNION ALL SELECT 'REVISIT_NOT_ADVANCING', 'error', earlier_id || '|' || later_id FROM r JOIN t a ON r.earlier_id = a.id JOIN t b ON r.later_id = b.id WHERE b.grade_start <= a.grade_start
+UNION ALL SELECT 'LOW_STANDARDS_COVERAGE', 'error', concat_ws('|', count(*), count(*) FILTER (len(standards) > 0), (SELECT string_agg(id, ',' ORDER BY id) FROM (SELECT id FROM t WHERE id IS NOT NULL AND coalesce(len(standards), 0) = 0 ORDER BY id LIMIT 1000))) FROM t HAVING count(*) FILTER (len(standards) > 0) / count(*) < 0.9
+UNION ALL SELECT 'MISSING_PROVENANCE', 'error', id FROM t WHERE provenance IS NULL
+UNION ALL SELECT 'CONSISTENCY_SKIPPED', 'warning', 'no judge'""",
     "content_violations": _with(_D)
     + """SELECT draft_id AS key, rule FROM (
 SELECT draft_id, unnest(list_filter([
