@@ -30,7 +30,8 @@ ONE_LETTER = frozenset("stmd")
 TWO_LETTER = {"r": "e", "v": "e", "l": "l"}
 
 
-#: How a text is cut into the symbols that are read; any cut gives the same ids.
+#: How a text is cut into the symbols that are read; any cut gives the same ids. Between slices of so many characters the table may be dropped.
+SLICE = 1 << 16
 STRETCH = re.compile("[\u4e00-\u9fff]{1,24}|[A-Za-z]{1,24}|[^\u4e00-\u9fffA-Za-z]{1,24}")
 
 
@@ -201,13 +202,16 @@ class Transducer:
         return self.ids(window + held.encode())
 
     def encode(self, text: str) -> bytes:
-        if self.built > self.most:
-            self.reset()
         s, out = self.begin, []
         add = out.append
-        for symbol in STRETCH.findall(text):
-            e, s = s[symbol]
-            add(e)
+        for at in range(0, len(text), SLICE):
+            if self.built > self.most:
+                run, window, held = s.run, s.window, s.held
+                self.reset()
+                s = self.state(run, window, held)
+            for symbol in STRETCH.findall(text[at : at + SLICE]):
+                e, s = s[symbol]
+                add(e)
         add(s.end())
         return b"".join(out)
 

@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from kgraph.llm import looks, pieces, tokens
+from kgraph.llm import bpe, looks, pieces, tokens
 from kgraph.llm.bpe import BYTE_BPE_50K, Decoder, Transducer, loaded
 
 
@@ -33,6 +33,8 @@ def test_transducer_equals_reference(encoding):
         assert ids(machine, text) == encoding.encode_ordinary(text), repr(text)
     small = Transducer(machine.ranks, most_transitions=50)
     decoder = Decoder(machine.ranks)
+    long = "".join(rng.choice(parts) for _ in range(60_000))
+    assert len(long) > 2 * bpe.SLICE and ids(small, long) == encoding.encode_ordinary(long) and len(small.states) < len(long)
     for text in ("水平 test 平行线。" * 30, "", "a"):
         assert ids(small, text) == encoding.encode_ordinary(text)
         assert decoder.decode(ids(small, text)) == text
