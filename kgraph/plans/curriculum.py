@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgraph import schema as S
-from kgraph.functions.scoring import LITERAL, cosine, search_score, shared_grams
+from kgraph.functions.scoring import LITERAL, search_score, shared_grams
 from kgraph.functions.text import bigrams, plain, topic_id
 from kgraph.operators import curate, evaluate, serve, validate
 from kgraph.operators.graph import Graph, ancestors, chain_lengths, latest, longest_chain, plan_path, prerequisites, ranked, revisit_notes
 from kgraph.operators.matching import greedy
 from kgraph.operators.order import before
 from kgraph.operators.skew import hot_join
-from kgraph.session import cut, ship, small_or_plain
+from kgraph.operators.vectors import nearest
+from kgraph.session import cut, ship
 from kgraph.sources.documents import new_rows
 from kgraph.sources.tables import table
 
@@ -518,13 +519,10 @@ def statement_retention(spark, d):
 
 
 def nearest_vectors(spark, d):
-    """The three vectors of highest cosine for each vector whose id is divisible by 20; query vectors are few and broadcast."""
-
-
-    e = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    s = e.join(small_or_plain(q, 600), F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 5).alias("score"))
-    return ranked(s, ["query_id"], [F.desc("score"), F.asc("vec_id")], 3).select("query_id", "rank", "vec_id", "score")
+    """The three vectors of highest cosine for each vector whose id is divisible by 20, against all."""
+    ship(spark)
+    e = table(spark, d, "embeddings")
+    return nearest(e, e.where("vec_id % 20 = 0"), 3)
 
 
 def event_props(spark, d):
