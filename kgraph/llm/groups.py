@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgraph.operators.skew import LEAST_HOT, hot_join
-from kgraph.session import cut_counting, rounds
+from kgraph.session import cut, cut_counting, rounds
+
+#: Hexadecimal digits of a hash before an id.
+DIGITS = 16
 
 
 def groups(pairs: DataFrame, left: str, right: str, group: str = "group_id", member: str = "member_id", least_hot: int = LEAST_HOT) -> DataFrame:
@@ -16,13 +19,18 @@ def groups(pairs: DataFrame, left: str, right: str, group: str = "group_id", mem
     occur; repeated pairs and either direction count once. Ids are compared as stored, the smallest is by code point.
     No pairs give no rows.
 
+    The minimum that is sent is by a hash of the ids, then by the ids: along a chain of ids in order, clusters of true minima would
+    double until a chain of n ids had n * n rows, while in a random order only few ids are minima. The smallest id of a group is
+    taken at the end, by one partial minimum a group.
+
     Each round, every vertex v sends its cluster to the smallest member m of it, and m to every other member. A cluster is
     never one value: it's the rows (v, member), and a round is one partial minimum a vertex and two rows for each row. Vertices of
     more than least_hot rows are joined by broadcast where their rows lie, at most 1,000 of them; each has over a thousandth of
     all rows or shares its task with others like it. A row whose two ends have different minima crosses; what no row crosses is
     stable, leaves with its minimum as its group, and isn't sent again. Rounds end when nothing crosses, after about log(longest chain).
     """
-    e = pairs.select(F.col(left).cast("string").alias("v"), F.col(right).cast("string").alias("u")).where("v IS NOT NULL AND u IS NOT NULL")
+    hashed = lambda c: F.concat(F.lpad(F.hex(F.xxhash64(F.col(c).cast("string"))), DIGITS, "0"), F.col(c).cast("string"))
+    e = pairs.select(hashed(left).alias("v"), hashed(right).alias("u")).where("v IS NOT NULL AND u IS NOT NULL")
     ends = F.array(F.struct(F.col("v").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("v").alias("u")), F.struct(F.col("v").alias("v"), F.col("v").alias("u")), F.struct(F.col("u").alias("v"), F.col("u").alias("u")))
     rows, n = cut_counting(e.select(F.inline(ends)).distinct(), F.lit(True))
     out = None
@@ -37,10 +45,12 @@ def groups(pairs: DataFrame, left: str, right: str, group: str = "group_id", mem
             touched = hot_join(near, far, ["u"], hot=hot).where("m <> m2").select(F.explode(F.array("m", "m2")).alias("m")).distinct()
             open_, crossing = cut_counting(touched, F.lit(True))
             stable = low if not crossing else hot_join(low, open_, ["m"], "left_anti", hot=hot)
-            part = stable.select(F.col("m").alias(group), F.col("v").alias(member))
-            out = part if out is None else out.unionByName(part)
+            out = stable if out is None else out.unionByName(stable)
             if not crossing:
-                return out
+                break
             on = hot_join(rows, hot_join(low, open_, ["m"], "left_semi", hot=hot), ["v"], hot=hot)
             sent = on.select(F.inline(F.array(F.struct(F.col("m").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))))
             rows, n = cut_counting(sent.distinct(), F.lit(True))
+    found = cut(out.select("m", F.substring("v", DIGITS + 1, 1 << 30).alias("v")))
+    least = found.groupBy("m").agg(F.min("v").alias("g"))
+    return hot_join(found, least, ["m"]).select(F.col("g").alias(group), F.col("v").alias(member))
