@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from kgraph.operators.skew import LEAST_HOT, hot_join
 from kgraph.session import cut, cut_counting, rounds
 
-#: Hexadecimal digits of a hash before an id.
-DIGITS = 16
+#: Hexadecimal digits of a hash before an id; ids of one hash follow each other in their own order.
+DIGITS = 7
 
 
 def groups(pairs: DataFrame, left: str, right: str, group: str = "group_id", member: str = "member_id", least_hot: int = LEAST_HOT) -> DataFrame:
@@ -29,7 +29,7 @@ def groups(pairs: DataFrame, left: str, right: str, group: str = "group_id", mem
     all rows or shares its task with others like it. A row whose two ends have different minima crosses; what no row crosses is
     stable, leaves with its minimum as its group, and isn't sent again. Rounds end when nothing crosses, after about log(longest chain).
     """
-    hashed = lambda c: F.concat(F.lpad(F.hex(F.xxhash64(F.col(c).cast("string"))), DIGITS, "0"), F.col(c).cast("string"))
+    hashed = lambda c: F.concat(F.lpad(F.hex(F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(16**DIGITS))), DIGITS, "0"), F.col(c).cast("string"))
     e = pairs.select(hashed(left).alias("v"), hashed(right).alias("u")).where("v IS NOT NULL AND u IS NOT NULL")
     ends = F.array(F.struct(F.col("v").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("v").alias("u")), F.struct(F.col("v").alias("v"), F.col("v").alias("u")), F.struct(F.col("u").alias("v"), F.col("u").alias("u")))
     rows, n = cut_counting(e.select(F.inline(ends)).distinct(), F.lit(True))
