@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 import unicodedata
 from collections.abc import Callable
@@ -12,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kgraph.functions import likeness
+
 # Chinese numerals with their digits, operator words with their signs.
 NUMERALS = {"零": "0", "一": "1", "二": "2", "三": "3", "四": "4", "五": "5", "六": "6", "七": "7", "八": "8", "九": "9", "十": "10"}
 OPERATORS = {"加": "+", "减": "-", "乘": "×", "除以": "÷"}
@@ -72,17 +73,10 @@ def folded_name(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else re.sub(r"[\W_]+", "", unicodedata.normalize("NFKC", x).lower()))
 
 
-@F.pandas_udf(T.DoubleType())
-def containment(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Characters in matching blocks over the shorter length; 0 if either is empty. The order of the two matters."""
-
-    def one(x, y):
-        if not x or not y:
-            return 0.0
-        blocks = difflib.SequenceMatcher(None, x, y).get_matching_blocks()
-        return sum(m.size for m in blocks) / min(len(x), len(y))
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def occurrences(s: pd.Series) -> pd.Series:
+    """The characters of a name, each followed by its number among equal ones."""
+    return s.map(likeness.occurrences)
 
 
 def paragraphs(text: Column) -> Column:

@@ -5,11 +5,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from kgraph import schema as S
+from kgraph.functions.likeness import similar_pairs
 from kgraph.functions.scoring import CLAIM_DESCRIPTION, CLAIM_LEAST, CLAIM_NAME, claim_score, shared_share
-from kgraph.functions.text import bigrams, body_of, code_of, containment, folded_name, padded, paragraphs, plain, summary, topic_id
+from kgraph.functions.text import bigrams, body_of, code_of, folded_name, occurrences, padded, paragraphs, plain, summary, topic_id
 from kgraph.hooks import PROGRAMMING, mapped
 from kgraph.operators.matching import greedy
 from kgraph.operators.order import before
@@ -24,6 +24,8 @@ FIDELITY_JUDGE_FAILED, NAME_JUDGE_FAILED, EDGE_JUDGE_FAILED = "FIDELITY_JUDGE_FA
 REVIEW_REJECTED, UNKNOWN_REVIEW_TARGET, UNKNOWN_EDGE_PREREQUISITE = "REVIEW_REJECTED", "UNKNOWN_REVIEW_TARGET", "UNKNOWN_EDGE_PREREQUISITE"
 EDGE_TARGET_REJECTED, EDGE_PREREQUISITE_REJECTED, ORPHANED_BY_REJECTION, DUPLICATE_EDGE = "EDGE_TARGET_REJECTED", "EDGE_PREREQUISITE_REJECTED", "ORPHANED_BY_REJECTION", "DUPLICATE_EDGE"
 FUZZY_LEAST, GRADE_GAP, EMPTY_RETRIES = 0.85, 2, 2
+#: Names of either side that meet in a cell, pairs that a task bounds on average, and tasks at most.
+CELL, PAIRS_A_TASK, MOST_TASKS = 2048, 1_000_000, 2000
 
 
 def drop_rows(df: DataFrame, stage: str, ref: Column, reason: Column | str, detail: Column) -> DataFrame:
@@ -77,24 +79,37 @@ def fuzzy_names(names: DataFrame, column: str = "name", least: float = FUZZY_LEA
     """(a, b, score): pairs of different folded names, a < b, of containment `least` or more.
 
     Lossless blocking: two names whose matching blocks cover a share t of the shorter have, by counting, at least one
-    common character among the shorter's first len - ceil(t * len) + 1 characters in any fixed order; the order is rare characters
-    first. Then lengths and common characters bound the score from above, and only survivors are scored.
+    common occurrence of a character among the shorter's first len - ceil(t * len) + 1 in any fixed order; the order is rare ones
+    first. Occurrences of one character in a name are told apart by number, so overlaps are of multisets. A pair is taken where
+    the first of them meets, so once, and never stands as a row: names that differ only in their digits make nearly all the pairs
+    of their pattern. The names of an occurrence meet in cells of at most about CELL by CELL, bounded and scored within Python.
     """
     d = cut(names.select(folded_name(F.col(column)).alias("a")).where("length(a) > 0").distinct())
-    chars = d.select("a", F.posexplode(F.split("a", "")).alias("pos", "ch")).where("ch <> ''")
-    seen = chars.groupBy("ch").agg(F.count("*").alias("n"))
-    # occurrences of one character in a name are told apart by number, so overlaps are of multisets
-    nth = chars.withColumn("k", F.row_number().over(Window.partitionBy("a", "ch").orderBy("pos")))
-    ordered = nth.join(small_or_plain(seen, 40), "ch").groupBy("a").agg(F.sort_array(F.collect_list(F.struct("n", "ch", "k"))).alias("cs"))
-    n = F.size("cs")
-    tokens = ordered.select("a", n.alias("n"), F.explode(F.transform("cs", lambda c: F.struct(c["ch"].alias("ch"), c["k"].alias("k")))).alias("t"), "cs")
-    prefix = ordered.select("a", n.alias("n"), F.explode(F.transform(F.slice("cs", 1, n - F.ceil(F.lit(least) * n).cast("int") + 1), lambda c: F.struct(c["ch"].alias("ch"), c["k"].alias("k")))).alias("t"))
-    short = prefix.select(F.col("a").alias("s"), F.col("n").alias("ns"), "t")
-    long_ = tokens.select(F.col("a").alias("l"), F.col("n").alias("nl"), "t")
-    pairs = short.join(long_, "t").where("s <> l AND ns <= nl").select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).distinct()
-    common = F.aggregate(F.array_distinct(F.split("a", "")), F.lit(0), lambda s, c: s + F.least(F.length("a") - F.length(F.replace(F.col("a"), c, F.lit(""))), F.length("b") - F.length(F.replace(F.col("b"), c, F.lit("")))))
-    close = pairs.where(common >= F.lit(least) * F.least(F.length("a"), F.length("b")))
-    return close.withColumn("score", containment(F.col("a"), F.col("b"))).where(F.col("score") >= least)
+    parts = d.select("a", F.explode(occurrences(F.col("a"))).alias("t"))
+    seen = parts.groupBy("t").agg(F.count("*").alias("n"))
+    ordered = cut(parts.join(small_or_plain(seen, 40), "t").groupBy("a").agg(F.sort_array(F.collect_list(F.struct("n", "t"))).alias("ts")))
+    n = F.size("ts")
+    # a rounding error of the product must not shorten the prefix
+    first = n - F.greatest(F.lit(1), F.ceil(F.lit(least) * n - 1e-6).cast("int")) + 1
+    short = ordered.select("a", F.posexplode(F.slice("ts", 1, first)).alias("p", "t"), "ts").where("t.n > 1").select("t.t", "t.n", "a", F.slice(F.col("ts.t"), 1, F.col("p")).alias("earlier"))
+    long_ = ordered.select("a", F.explode("ts").alias("t")).where("t.n > 1").select("t.t", "a")
+    sizes = cut(short.groupBy("t").agg(F.count("*").alias("ns"), F.first("n").alias("nl")))
+    pairs = sizes.agg(F.sum(F.col("ns") * F.col("nl"))).first()[0] or 0
+    cells = small_or_plain(sizes.select("t", F.ceil(F.col("ns") / CELL).alias("rows"), F.ceil(F.col("nl") / CELL).alias("columns")), 60)
+    at = lambda of: F.pmod(F.xxhash64("a"), F.col(of))
+    over = lambda of: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(of) - 1))
+    mine = short.join(cells, "t").select("t", at("rows").alias("i"), over("columns").alias("j"), "a", "earlier")
+    theirs = long_.join(cells, "t").select("t", over("rows").alias("i"), at("columns").alias("j"), "a", F.lit(None).cast("array<string>").alias("earlier"))
+    # the number of tasks is by pairs: adaptive execution would put these few bytes into one
+    both = mine.unionByName(theirs).repartition(max(1, min(MOST_TASKS, -(-pairs // PAIRS_A_TASK))), "t", "i", "j")
+
+    def scored(x: pd.DataFrame) -> pd.DataFrame:
+        own = x["earlier"].notna()
+        s = x[own]
+        a, b, score = similar_pairs(s["a"].tolist(), s["earlier"].tolist(), x.loc[~own, "a"].tolist(), least)
+        return pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object), "score": pd.Series(score, dtype="float64")})
+
+    return both.groupBy("t", "i", "j").applyInPandas(scored, "a string, b string, score double")
 
 
 def duplicate_pairs(drafts: DataFrame) -> DataFrame:

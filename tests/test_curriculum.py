@@ -1,10 +1,12 @@
 import difflib
+import random
 import re
 import unicodedata
 from datetime import datetime
 
 from kgraph import schema as S
-from kgraph.operators import serve
+from kgraph.functions import likeness
+from kgraph.operators import curate, serve
 from kgraph.operators.graph import Graph
 from kgraph.plans import catalogue, curriculum
 
@@ -36,6 +38,29 @@ def test_duplicate_names_of_drafts(spark, tmp_path):
     assert {(r["a"], r["b"]) for r in curriculum.similar_draft_names(spark, d).collect()} == want and want
 
 
+def test_similar_names_of_one_pattern(spark, monkeypatch):
+    """Names that differ in their digits, and ones whose common part holds characters beyond 16 bits or more than 64, in cells of few names."""
+    monkeypatch.setattr(curate, "CELL", 16)
+    r, long = random.Random(1), "".join(chr(0x4E00 + k) for k in range(70))
+    names = [f"kitemodel{r.randrange(10**6):06d}拼装" for _ in range(60)] + [f"口算卡{r.randrange(10**5):05d}abc填空的认识{'x' * (k % 3)}" for k in range(40)]
+    names += ["𠀀乙丙丁戊己庚", "甲乙丙丁戊己庚辛", "𠀀𠀁𠀂𠀃𠀄𠀅𠀆", "𠀀𠀁𠀂𠀃𠀄𠀅", long, long[5:] + "一", long[::-1], long[:64] + "yz"]
+    names = sorted(set(names))
+    share = lambda a, b: sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks()) / min(len(a), len(b))
+    want = {(a, b): s for i, a in enumerate(names) for b in names[i + 1 :] if (s := share(a, b)) >= 0.85}
+    got = curate.fuzzy_names(spark.createDataFrame([(x,) for x in names], "name string")).collect()
+    assert {(x["a"], x["b"]): x["score"] for x in got} == want and len(got) == len(want) > 50
+    assert ("甲乙丙丁戊己庚辛", "𠀀乙丙丁戊己庚") in want and tuple(sorted((long, long[5:] + "一"))) in want
+
+
+def test_few_pairs_of_a_pattern_are_matched_by_blocks(monkeypatch):
+    """Of the 180,000 pairs of a pattern, matching blocks are made for little more than those that are close enough."""
+    r, calls, real = random.Random(2), [], likeness.containment_of
+    monkeypatch.setattr(likeness, "containment_of", lambda a, b: calls.append((a, b)) or real(a, b))
+    names = sorted({f"kitemodel{r.randrange(10**8):08d}拼装" for _ in range(600)})
+    a, b, score = likeness.similar_pairs(names, [[]] * len(names), names, 0.85)
+    assert 0 < len(a) <= len(calls) < 2 * len(a) + 50 and len(calls) == len(set(calls)) and min(score) >= 0.85
+
+
 def test_whole_retrieval(spark, tmp_path):
     blank = {f.name: None for f in S.TOPIC}
     m = lambda *x: dict(zip(("statement", "probe", "correction_hint"), x, strict=True))
