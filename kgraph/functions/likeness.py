@@ -29,19 +29,43 @@ def occurrences(name: str) -> list[str]:
     return out
 
 
+def _matching(a: str, b: str) -> int:
+    """What difflib's matching blocks hold without its popular characters: the longest common part, of several the first in a
+    and then in b, and so on left and right of it."""
+    if not a or not b:
+        return 0
+    size = at = i = 0
+    while i + size < len(a):
+        if a[i : i + size + 1] in b:
+            size, at = size + 1, i
+        else:
+            i += 1
+    if not size:
+        return 0
+    j = b.find(a[at : at + size])
+    return size + _matching(a[:at], b[:j]) + _matching(a[at + size :], b[j + size :])
+
+
 def containment_of(a: str, b: str) -> float:
     """Characters in matching blocks over the shorter length; 0 if either is empty. The order of the two matters."""
     if not a or not b:
         return 0.0
-    return sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks()) / min(len(a), len(b))
+    # difflib leaves popular characters out from 200 on
+    n = _matching(a, b) if max(len(a), len(b)) < 200 else sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks())
+    return n / min(len(a), len(b))
 
 
 def _codes(names: list[str], known: dict[str, int]) -> np.ndarray:
-    """Names as rows of numbers of characters; 0 for one that isn't known, and beyond a name's end."""
-    out = np.zeros((len(names), max(map(len, names))), np.int32)
-    for i, x in enumerate(names):
-        out[i, : len(x)] = [known.get(c, 0) for c in x]
-    return out
+    """Names as rows of numbers of characters; 0 for one that isn't known, and beyond a name's end. Folded names hold no \\0."""
+    width = max(map(len, names))
+    table = np.zeros(0x110000, np.int32)
+    table[[ord(c) for c in known]] = list(known.values())
+    points = np.frombuffer("".join(x.ljust(width, "\0") for x in names).encode("utf-32-le", "surrogatepass"), "<u4")
+    return table[points].reshape(len(names), width)
+
+
+def _known(names: list[str]) -> dict[str, int]:
+    return {c: k for k, c in enumerate(sorted(set().union(*names)), 1)}
 
 
 def common_in_order(short: list[str], long: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -49,7 +73,7 @@ def common_in_order(short: list[str], long: list[str], i: np.ndarray, j: np.ndar
 
     A word of bits a short name (more words beyond 64 characters), one addition a character of the long one: Hyyrö's form.
     """
-    known = {c: k for k, c in enumerate(sorted(set().union(*short)), 1)}
+    known = _known(short)
     words = -(-max(map(len, short)) // 64)
     masks = np.zeros((words, len(short), len(known) + 1), np.uint64)
     for r, x in enumerate(short):
@@ -80,16 +104,10 @@ def common_in_order(short: list[str], long: list[str], i: np.ndarray, j: np.ndar
     return out
 
 
-def _has(names: list[str], tokens: list[str]) -> np.ndarray:
-    """(name, token): 1 if the name has that occurrence of a character."""
-    known = {c: k for k, c in enumerate(sorted({t[0] for t in tokens}), 1)}
-    codes = _codes(names, known)
-    out, times = np.zeros((len(names), len(tokens)), np.float32), {}
-    for k, t in enumerate(tokens):
-        if t[0] not in times:
-            times[t[0]] = (codes == known[t[0]]).sum(1)
-        out[:, k] = times[t[0]] >= int(t[1:])
-    return out
+def _times(names: list[str], known: dict[str, int]) -> np.ndarray:
+    """(name, number of a character): how often the name holds it."""
+    codes, n = _codes(names, known), len(known) + 1
+    return np.bincount((codes + np.arange(len(names))[:, None] * n).ravel(), minlength=len(names) * n).reshape(-1, n)
 
 
 def _ranges(widths: list[int], most: int) -> list[slice]:
@@ -118,18 +136,21 @@ def similar_pairs(short: list[str], earlier: list[list[str]], long: list[str], l
     out: tuple[list[str], list[str], list[float]] = ([], [], [])
     for sr in _ranges([len(x) + 64 for x in short], CHARACTERS_AT_ONCE // 64):
         ss, es = short[sr], earlier[sr]
-        tokens = sorted({t for x in ss for t in occurrences(x)})
-        at = {t: k for k, t in enumerate(tokens)}
+        known = _known(ss)
+        times = _times(ss, known)
+        tokens = [(c, m) for c, k in known.items() for m in range(1, int(times[:, k].max()) + 1)]
+        at = {f"{c}{m}": k for k, (c, m) in enumerate(tokens)}
+        columns, least_times = [known[c] for c, _ in tokens], np.array([m for _, m in tokens])
         before = np.zeros((len(ss), len(tokens)), np.float32)
         for r, x in enumerate(es):
             before[r, [at[t] for t in x]] = 1
-        theirs, least_common = _has(ss, tokens), np.array([need[len(x)] for x in ss])
+        theirs, least_common = (times[:, columns] >= least_times).astype(np.float32), np.array([need[len(x)] for x in ss])
         for lr in _ranges([len(x) + len(tokens) for x in long], CHARACTERS_AT_ONCE):
             ls = long[lr]
             ok = np.array([rank[x] for x in ss])[:, None] < np.array([rank[x] for x in ls])[None, :]
             if not ok.any():
                 continue
-            has = _has(ls, tokens).T
+            has = (_times(ls, known)[:, columns] >= least_times).astype(np.float32).T
             ok &= (theirs @ has >= least_common[:, None]) & (before @ has == 0)
             i, j = np.nonzero(ok)
             if not len(i):

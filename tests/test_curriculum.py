@@ -61,6 +61,15 @@ def test_few_pairs_of_a_pattern_are_matched_by_blocks(monkeypatch):
     assert 0 < len(a) <= len(calls) < 2 * len(a) + 50 and len(calls) == len(set(calls)) and min(score) >= 0.85
 
 
+def test_containment_is_of_difflib_blocks():
+    r = random.Random(3)
+    text = lambda letters, most: "".join(r.choice(letters) for _ in range(r.randrange(1, most)))
+    for k in range(3000):
+        a, b = (text("abcdefghij"[: 1 + k % 10], 260 if k % 30 == 0 else 30) for _ in range(2))
+        assert likeness.containment_of(a, b) == sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks()) / min(len(a), len(b))
+    assert likeness.containment_of("", "a") == 0.0
+
+
 def test_whole_retrieval(spark, tmp_path):
     blank = {f.name: None for f in S.TOPIC}
     m = lambda *x: dict(zip(("statement", "probe", "correction_hint"), x, strict=True))
